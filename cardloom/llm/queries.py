@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_output, url_filter
+from . import decontaminate, language_id, token_output, url_filter
 from .common import read
 
 #: Where the public tokenizers' files are; None asks the package that brings them.
@@ -22,6 +22,10 @@ def tokenizer_path(folder: str | None = TOKENIZERS) -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_report(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -30,9 +34,15 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_token_output": op4_token_output,
     "op7_url_filter": op7_url_filter,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.sql()}
