@@ -41,7 +41,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length
 #: Documents in a shard, about; and of the sample that the dictionary is trained on.
 SHARD_DOCS, SAMPLE_DOCS, SAMPLE_PIECE, DICTIONARY_BYTES, LEVEL = 16_384, 2_000, 2_048, 65_536, 3
 #: Words whose ids a worker remembers.
-MEMO = 1_000_000
+MEMO = 700_000
 
 
 LETTER_STOP = re.compile(rb"([a-z])([.,])")
@@ -57,18 +57,32 @@ class Encoder:
 
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.memo: dict[bytes, bytes] = {}
+        # words of a-z alone need neither normalizing nor cutting; each of them ends with its only end-of-word id
+        self.plain = Tokenizer.from_file(tokenizer_path)
+        self.plain.normalizer = Sequence([])
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[k for w, k in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         split = [self.words(x or b"") for x in texts]
         new = list(set(chain.from_iterable(split)) - self.memo.keys())
         if len(self.memo) + len(new) > MEMO:
             self.memo, new = {}, list(set(chain.from_iterable(split)))
-        for k in range(0, len(new), 20_000):
-            self.learn(new[k : k + 20_000])
+        plain = [w for w in new if w.isalpha()] if self.ends.any() else []
+        other = list(set(new).difference(plain))
+        for k in range(0, len(plain), 20_000):
+            self.learn_plain(plain[k : k + 20_000])
+        for k in range(0, len(other), 20_000):
+            self.learn(other[k : k + 20_000])
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -86,8 +100,17 @@ class Encoder:
         ids = np.array(found.ids, f"<u{self.width}")
         begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
         of = np.searchsorted(begins, [a for a, _ in found.offsets], "right") - 1
-        cuts = np.searchsorted(of, np.arange(len(words) + 1)).tolist()
-        data, w = ids.tobytes(), self.width
+        self.remember(words, ids, np.searchsorted(of, np.arange(len(words) + 1)))
+
+    def learn_plain(self, words: list[bytes]) -> None:
+        found = self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0]
+        ids = np.array(found.ids, f"<u{self.width}")
+        self.remember(words, ids, np.r_[0, np.flatnonzero(self.ends[ids]) + 1])
+
+    def remember(self, words: list[bytes], ids: np.ndarray, cuts: np.ndarray) -> None:
+        data, w, cuts = ids.tobytes(), self.width, cuts.tolist()
+        if len(cuts) != len(words) + 1:
+            raise ValueError("the tokenizer's ids don't fall apart into words")
         self.memo.update((word, data[a * w : b * w]) for word, a, b in zip(words, cuts, cuts[1:], strict=False))
 
 
