@@ -169,7 +169,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u").select("u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = write_out(small.where("u <> v").distinct(), "links")
-        state = edges.agg(F.count("*"), F.sum("u"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        state = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
         if state == last:
             break
         last = state
