@@ -130,7 +130,7 @@ def as_arrow(values, kind: pa.DataType) -> pa.Array:
 _KINDS = {
     "bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
     "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
-    "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()),
+    "array<double>": pa.list_(pa.float64()), "array<binary>": pa.list_(pa.binary()), "array<int>": pa.list_(pa.int32()),
 }
 
 
