@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, suffix_dedup, token_output, toxicity, url_filter
+from . import decontaminate, jaccard_join, language_id, suffix_dedup, token_output, toxicity, url_filter, vector_dedup
 from .common import read
 
 #: Where the public tokenizers' files are; None asks the package that brings them.
@@ -38,6 +38,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_report(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_token_output": op4_token_output,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filter": op7_url_filter,
     "op9_language_id": op9_language_id,
