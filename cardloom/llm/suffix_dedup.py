@@ -42,14 +42,14 @@ from .common import arrow_schema, map_arrow, prepare, utf8, write_out
 from .shingles import _BYTE, _power, mix
 
 LENGTH, ANCHOR = 400, 128
-SHARD, CONTEXTS, PIECE_BITS = 262_144, 512, 22
-RUNS = 1_000_000
+SHARD, CONTEXTS, PIECE_BITS = 131_072, 512, 20
+RUNS = 500_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
-#: times: 2 if its task has seen the context twice or more; hot: 1 for the mark of an anchor that its task found hot.
-_RUN = np.dtype([("anchor", "<u8"), ("text", "<i8"), ("start", "<i8"), ("length", "<i4"), ("hash", "<u8"), ("times", "u1"), ("hot", "u1")])
+#: at: where in the context its anchor is; times: 2 if its task has seen the context twice or more; hot: 1 for the mark of an anchor that its task found hot.
+_RUN = np.dtype([("anchor", "<u8"), ("text", "<i8"), ("start", "<i8"), ("length", "<i4"), ("at", "<i4"), ("hash", "<u8"), ("times", "u1"), ("hot", "u1")])
 _DOC, _RUNS, _SPANS, _HOT = range(4)  # rows of the first pass
 _SPAN = np.dtype([("start", "<i8"), ("length", "<i8")])
-_NEED = np.dtype([("start", "<i8"), ("length", "<i4"), ("anchor", "<u8"), ("hot", "<u1")])
+_NEED = np.dtype([("start", "<i8"), ("length", "<i4"), ("at", "<i4"), ("anchor", "<u8"), ("hot", "<u1")])
 _NULL_ID = -(1 << 63)
 
 
@@ -134,7 +134,7 @@ def _piece(texts: list[bytes], names: list[int], offset: int) -> np.ndarray:
     out = np.zeros(len(first), _RUN)
     out["anchor"], out["text"] = hashes[at[first]], np.array(names, np.int64)[owner[first]]
     out["start"], out["length"] = first - begins[owner[first]] + offset, last - first + LENGTH
-    out["hash"], out["times"] = rolling.of(first, last + LENGTH), 1
+    out["at"], out["hash"], out["times"] = at[first] - first, rolling.of(first, last + LENGTH), 1
     return out
 
 
@@ -262,6 +262,34 @@ def group_suffixes(text: bytes) -> list[int]:
     return order
 
 
+def _shared(strings: list[bytes]) -> list[int]:
+    """Of each string, how many bytes at its front another string has too."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out = [0] * len(strings)
+    for i, j in zip(order, order[1:]):
+        a, b = strings[i], strings[j]
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            middle = (low + high + 1) // 2
+            if a[:middle] == b[:middle]:
+                low = middle
+            else:
+                high = middle - 1
+        out[i], out[j] = max(out[i], low), max(out[j], low)
+    return out
+
+
+def trim(group: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """Contexts of one anchor, (place of the anchor, bytes), without what no other has: (bytes cut in front, rest).
+
+    A string around the anchor that another context has reaches no further to the left, and no further to the right,
+    than the context agrees with any other one on that side.
+    """
+    left = _shared([data[:at][::-1] for at, data in group])
+    right = _shared([data[at:] for at, data in group])
+    return [(at - a, data[at - a : at + b]) for (at, data), a, b in zip(group, left, right, strict=True)]
+
+
 def repeated_starts(parts: list[bytes]) -> list[np.ndarray]:
     """For each context, where in it strings of LENGTH bytes start that start elsewhere too."""
     text = b"\0".join(parts) + b"\0"
@@ -306,7 +334,7 @@ def _spans_by_text(text: np.ndarray, spans: np.ndarray) -> tuple[list[int], list
 
 def _needs(runs: np.ndarray, hot) -> np.ndarray:
     out = np.zeros(len(runs), _NEED)
-    for x in ("start", "length", "anchor"):
+    for x in ("start", "length", "at", "anchor"):
         out[x] = runs[x]
     out["hot"] = hot
     return out
@@ -401,8 +429,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                 continue
             needs = np.concatenate([_unpack(x, _NEED) for x in blobs])
             cold = needs[needs["hot"] == 0]
-            for start, length, anchor in cold[["start", "length", "anchor"]].tolist():
-                out.setdefault((anchor % shards, False), []).append((name, start, anchor, body[start : start + length]))
+            for start, length, at, anchor in cold[["start", "length", "at", "anchor"]].tolist():
+                out.setdefault((anchor % shards, False), []).append((name, start, at, anchor, body[start : start + length]))
             hot = needs[needs["hot"] == 1]
             if len(hot):
                 rolling = Rolling(np.frombuffer(body, np.uint8))
@@ -426,25 +454,29 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     def shard(table: pa.Table) -> pa.Table:
         texts, spans = [], []
-        cold: dict[int, dict[tuple[int, int], bytes]] = {}
+        cold: dict[int, dict[tuple[int, int], tuple[int, bytes]]] = {}
         windows = []
         for hot, blob in zip(table.column("hot").to_pylist(), table.column("data").to_pylist(), strict=True):
             raw = zstandard.ZstdDecompressor().decompress(blob)
             if hot:
                 windows.append(np.frombuffer(raw, [("hash", "<u8"), ("text", "<i8"), ("start", "<i8")]))
                 continue
-            for text, start, anchor, data in pickle.loads(raw):
-                cold.setdefault(anchor, {})[text, start] = data
+            for text, start, at, anchor, data in pickle.loads(raw):
+                cold.setdefault(anchor, {})[text, start] = (at, data)
         # equal strings have equal anchors: anchors may be told apart, but not the contexts of one
         part: dict[tuple[int, int], bytes] = {}
+        size = 0
         for k, anchor in enumerate(sorted(cold)):
-            part.update(cold[anchor])
-            if k + 1 == len(cold) or sum(map(len, part.values())) > SHARD:
-                for (text, start), hits in zip(part, repeated_starts(list(part.values())), strict=True):
+            for (text, start), (cut, data) in zip(cold[anchor], trim(list(cold[anchor].values())), strict=True):
+                if len(data) >= LENGTH:
+                    part[text, start + cut] = data
+                    size += len(data)
+            if k + 1 == len(cold) or size > SHARD:
+                for (text, start), hits in zip(part, repeated_starts(list(part.values())) if part else (), strict=True):
                     if len(hits):
                         texts.append(np.full(len(x := _starts_to_spans(hits + start)), text))
                         spans.append(x)
-                part = {}
+                part, size = {}, 0
         if windows:
             rows = np.unique(np.concatenate(windows))
             twice = np.r_[False, rows["hash"][1:] == rows["hash"][:-1]]
