@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, hash_share, map_arrow, prepare, write_out
+from .common import arrow_schema, components, hash_share, map_arrow, prepare, ranges, write_out
 
 RADIUS = 0.98
 OVERLAP, BLOCK, DEGREE, MOST, ALPHA, BEAM, CANDIDATES = 3, 1_024, 24, 64, 1.2, 8, 96
@@ -113,26 +113,27 @@ def build_graph(x: np.ndarray) -> list[np.ndarray]:
     a = np.repeat(np.arange(n), [len(k) for k in out])
     b = np.concatenate(out)
     edges = np.unique(np.concatenate([a * n + b, b * n + a]))
-    lists = np.split(edges % n, np.searchsorted(edges // n, np.arange(1, n)))
-    for p, near_p in enumerate(lists):
-        if len(near_p) > MOST:  # of a hub its own edges, and of those to it the nearest
-            back = np.setdiff1d(near_p, out[p])
-            back = back[np.argsort(-similar[p, back], kind="stable")[: MOST - len(out[p])]]
-            lists[p] = np.union1d(out[p], back)
-    return lists
+    return np.split(edges % n, np.searchsorted(edges // n, np.arange(1, n)))
 
 
 def _padded(lists: list[np.ndarray]) -> np.ndarray:
-    width = max(1, max(map(len, lists), default=1))
-    out = np.full((len(lists), width), -1)
+    """Lists as rows; of a list of more than MOST, MOST spread over it."""
+    lists = [x if len(x) <= MOST else x[np.linspace(0, len(x) - 1, MOST).astype(int)] for x in lists]
+    out = np.full((len(lists), max(1, max(map(len, lists), default=1))), -1)
     for row, x in zip(out, lists, strict=True):
         row[: len(x)] = x
     return out
 
 
-def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, own: np.ndarray, radius: float = RADIUS) -> np.ndarray:
-    """in_range[q, i]; graph: padded neighbours; own: a query's own place in x, or -1."""
+def range_search(queries: np.ndarray, x: np.ndarray, lists: list[np.ndarray], own: np.ndarray, radius: float = RADIUS) -> np.ndarray:
+    """in_range[q, i]; lists: neighbours; own: a query's own place in x, or -1.
+
+    The beam looks at MOST neighbours of a node, range expansion at all of them.
+    """
     nq, n = len(queries), len(x)
+    graph = _padded(lists)
+    degree = np.array([len(k) for k in lists])
+    flat, begins = np.concatenate(lists), np.cumsum(degree) - degree
     medoid = int((x @ x.mean(axis=0)).argmax())
     seen = np.zeros((nq, n + 1), bool)
     seen[:, n] = True
@@ -172,9 +173,10 @@ def range_search(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, own: np.
     q, at = np.nonzero(in_range)
     while len(q):
         next_q, next_at = [], []
-        for k in range(0, len(q), 65_536):
-            part = graph[at[k : k + 65_536]]
-            pairs = np.unique((q[k : k + 65_536, None] * (n + 1) + np.where(part < 0, n, part)).ravel())
+        for k in range(0, len(q), 16_384):
+            part, of = at[k : k + 16_384], q[k : k + 16_384]
+            to = flat[ranges(begins[part], degree[part])]
+            pairs = np.unique(np.repeat(of, degree[part]) * (n + 1) + to)
             pq, pn = pairs // (n + 1), pairs % (n + 1)
             # nodes that the beam saw and found out of range need no second look; the rest is new
             fresh = ~seen[pq, pn]
@@ -198,7 +200,7 @@ def _search(table: pa.Table) -> pa.Table:
         place = {rows["node"][k]: i for i, k in enumerate(index)}
         x = np.array([np.frombuffer(rows["unit"][k]) for k in index])
         q = np.array([np.frombuffer(rows["unit"][k]) for k in query])
-        graph = _padded([np.array([place[m] for m in rows["near"][k] if m in place], int) for k in index])
+        graph = [np.array([place[m] for m in rows["near"][k] if m in place], int) for k in index]
         own = np.array([place.get(rows["node"][k], -1) for k in query])
         found = range_search(q, x, graph, own)
         found[np.flatnonzero(own >= 0), own[own >= 0]] = False
