@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, suffix_dedup, token_output, toxicity, url_filter, vector_dedup
+from . import decontaminate, jaccard_join, language_id, mixing, suffix_dedup, token_output, toxicity, url_filter, vector_dedup
 from .common import read
 
 #: Where the public tokenizers' files are; None asks the package that brings them.
@@ -50,6 +50,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(read(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_vector_dedup": op5_vector_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
 }
 
