@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, mixing, suffix_dedup, token_output, toxicity, url_filter, vector_dedup
+from . import (
+    decontaminate,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    suffix_dedup,
+    token_output,
+    toxicity,
+    url_filter,
+    vector_dedup,
+)
 from .common import read
 
 #: Where the public tokenizers' files are; None asks the package that brings them.
@@ -58,6 +69,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(read(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
@@ -68,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.sql()}
