@@ -7,7 +7,8 @@
 3. The columns are dealt into blocks by hash. A block finds the nodes of each of its shingles and adds up, for each pair
    of nodes, how many they share. The sums of all blocks meet, and pairs are discarded whose sum, plus what the columns
    not multiplied could add, is below the overlap that their sizes ask for.
-4. A shingle that more than LIST nodes have makes no pairs: its nodes are tied to its smallest node.
+4. A shingle that more than LIST nodes have makes no pairs: its nodes are tied to its smallest node. A task that holds
+   as many itself ties them at once and sends one node, marked, in place of all.
 5. What remains falls into clusters, in which all pairs are multiplied over all columns: several small clusters in a
    task, a large cluster in pairs of blocks of BLOCK nodes. They return the links that join groups, not all links.
 
@@ -35,7 +36,9 @@ WORDS = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 LIST, BLOCK, COLUMNS = 64, 512, 1_000_000
-SLICE_BITS = 16
+SLICE_BITS, TIES = 16, -1
+_NULL_ID = -(1 << 63)
+#: n is negative for the mark of a shingle whose other nodes its task has tied.
 _POSTING = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("n", "<i4"), ("frequent", "<i4")])
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4"), ("free", "<i4"), ("count", "<i4")])
 
@@ -127,8 +130,10 @@ def _columns(docs: DataFrame, sketch, bits: int, limit: int, buckets: int) -> Da
         return out
 
     def flush(parts: list[np.ndarray]):
-        rows = np.concatenate(parts)
+        rows, ties = tie(np.concatenate(parts), limit)
         cut = _split(rows, (mix(rows["shingle"]) % np.uint64(buckets)).astype(np.int64))
+        if len(ties):
+            cut.append((TIES, ties))
         data = [[k for k, _ in cut], [_pack(x) for _, x in cut]]
         return pa.RecordBatch.from_arrays([pa.array(data[0], pa.int32()), pa.array(data[1], pa.binary())], schema=schema)
 
@@ -147,6 +152,21 @@ def _columns(docs: DataFrame, sketch, bits: int, limit: int, buckets: int) -> Da
     return docs.select("text").mapInArrow(run, "bucket int, data binary")
 
 
+def tie(rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows with one marked row for each shingle of more than `limit` nodes, ties of those nodes)."""
+    rows = rows[np.lexsort((rows["node"], rows["shingle"]))]
+    first = np.flatnonzero(np.r_[True, rows["shingle"][1:] != rows["shingle"][:-1]])
+    length = np.diff(np.r_[first, len(rows)])
+    many = length > limit
+    if not many.any():
+        return rows, np.zeros((0, 2), np.int64)
+    of_many = np.repeat(many, length)
+    ties = np.stack([np.repeat(rows["node"][first[many]], length[many]), rows["node"][of_many]], axis=1)
+    marks = rows[first[many]].copy()
+    marks["n"] = -marks["n"]
+    return np.concatenate([rows[~of_many], marks]), np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0)
+
+
 def block_pairs(rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(pairs with counts, ties of frequent shingles) of one block of columns."""
     rows = rows[np.lexsort((rows["node"], rows["shingle"]))]
@@ -155,12 +175,13 @@ def block_pairs(rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.r_[True, rows["shingle"][1:] != rows["shingle"][:-1]])
     length = np.diff(np.r_[first, len(rows)])
     pairs, ties = [], []
-    for a, k in zip(first[length > limit].tolist(), length[length > limit].tolist()):
+    many = (length > limit) | (np.minimum.reduceat(rows["n"], first) < 0)
+    for a, k in zip(first[many].tolist(), length[many].tolist()):
         nodes = rows["node"][a : a + k]
         ties.append(np.stack([np.full(k - 1, nodes[0]), nodes[1:]], axis=1))
-    for k in np.unique(length[(length > 1) & (length <= limit)]).tolist():
+    for k in np.unique(length[(length > 1) & ~many]).tolist():
         left, right = np.triu_indices(k, 1)
-        of = first[length == k]
+        of = first[(length == k) & ~many]
         step = max(1, 2_000_000 // len(left))
         for at in range(0, len(of), step):
             x = (of[at : at + step, None] + left).ravel()
@@ -278,7 +299,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shingles = max(1, size // 6)
     bits = min(26, max(SLICE_BITS, math.ceil(math.log2(shingles / 16 + 1))))
@@ -289,11 +312,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = rows.where("slice is null").select("doc_id", "node", "n")
 
     def block(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            data = table.column("data").to_pylist()
+            return pa.table([[TIES] * len(data), data], schema=arrow_schema("bucket int, data binary"))
         pairs, ties = block_pairs(np.concatenate([_unpack(x, _POSTING) for x in table.column("data").to_pylist()]), limit)
         out = _split(pairs, (mix(pairs["a"].view(np.uint64) ^ mix(pairs["b"].view(np.uint64))) % np.uint64(buckets)).astype(np.int64))
-        return pa.table([[k for k, _ in out] + [-1], [_pack(x) for _, x in out] + [_pack(ties)]], schema=arrow_schema("bucket int, data binary"))
+        return pa.table([[k for k, _ in out] + [TIES], [_pack(x) for _, x in out] + [_pack(ties)]], schema=arrow_schema("bucket int, data binary"))
+
+    columns = _columns(docs, sketch, bits, limit, buckets)
 
-    blocks = write_out(_columns(docs, sketch, bits, limit, buckets).groupBy("bucket").applyInArrow(block, "bucket int, data binary"), "pairs")
+    def spread(batch: pa.RecordBatch) -> dict:
+        # the ties of a task of columns need no meeting: each of them is a group of its own
+        own = [k if k != TIES else TIES - 1 - node % buckets for k, node in zip(batch.column(0).to_pylist(), map(len, batch.column(1).to_pylist()))]
+        return {"bucket": own, "data": batch.column(1)}
+
+    blocks = write_out(map_arrow(columns, spread, "bucket int, data binary").groupBy("bucket").applyInArrow(block, "bucket int, data binary"), "pairs")
 
     def decide(table: pa.Table) -> pa.Table:
         pairs = add_up(np.concatenate([_unpack(x, _PAIR) for x in table.column("data").to_pylist()]))
@@ -309,12 +342,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .union(map_arrow(blocks.where("bucket < 0").select("data"), untie, "a bigint, b bigint"))
     )
     clusters = write_out(components(candidates), "clusters")
-    of_node = texts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    links = _verify(docs, of_node, clusters, 4 * buckets)
+    known = F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id"))
+    of_node = texts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(known).alias("known_id"))
+    links = _verify(docs, of_node.select("node", "doc_id"), clusters, 4 * buckets)
     groups = components(links).withColumnRenamed("component", "root")
-    named = of_node.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = of_node.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "known_id")
+    least = named.groupBy("root").agg(F.min("known_id").alias("component_id"))
     roots = write_out(named.join(least, "root").select("node", "component_id"), "groups")
-    return texts.join(roots, "node", "left").select(
-        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    named = texts.withColumn("doc_id", known).join(roots, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return named.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest doc_id, with all its columns.
+
+    Documents without shingles and with a null doc_id all stay; rows that share a doc_id stay or go together.
+    """
+    found = write_out(near_duplicates(docs), "near")
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.join(stays, F.col("doc_id").cast("bigint") == F.col("_stays"), "left_semi").unionByName(docs.where("doc_id is null"))
