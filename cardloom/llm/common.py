@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch of texts. Texts average a few kB, so that a batch is a few MB.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,12 +108,28 @@ def utf8(column: pa.Array) -> Iterator[bytes | None]:
     return (x for x in column.cast(pa.binary()).to_pylist())
 
 
+def release() -> None:
+    """Give freed memory of this worker back: workers live on, and the next stage's share the executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(batches):
+    """The batches, and a release() after the last."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with fn: RecordBatch -> dict of columns, or None."""
 
     def run(batches):
         out = None
-        for batch in batches:
+        for batch in released(batches):
             if batch.num_rows and (cols := fn(batch)) is not None:
                 out = out or arrow_schema(schema)
                 yield pa.RecordBatch.from_arrays([as_arrow(cols[f.name], f.type) for f in out], schema=out)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import map_arrow, new_path, prepare, ranges, utf8
+from .common import map_arrow, new_path, prepare, ranges, released, utf8
 
 WINDOW, BLOCK_BYTES = 13, 8_000_000
 #: Share of hit words from which a document is contaminated: 1 in CLEAN_BELOW.
@@ -247,7 +247,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def clean(batches):
-        for batch in batches:
+        for batch in released(batches):
             if batch.num_rows:
                 texts = list(utf8(batch.column(at).cast(pa.string())))
                 yield batch.filter(pa.array(~judge(blocks(), texts)["contaminated"]))

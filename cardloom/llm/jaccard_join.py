@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, map_arrow, prepare, utf8, write_out
+from .common import arrow_schema, components, map_arrow, prepare, released, utf8, write_out
 from .shingles import mix, shingle_sets
 
 WORDS = 5
@@ -74,7 +74,7 @@ def _sets(docs: DataFrame, sketch_bits: int) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(1 << sketch_bits, np.uint8)
-        for batch in batches:
+        for batch in released(batches):
             sets = shingle_sets(list(utf8(batch.column(1))), WORDS)
             nodes = [node_of(s) if len(s) else None for s in sets]
             n = batch.num_rows
@@ -139,7 +139,7 @@ def _columns(docs: DataFrame, sketch, bits: int, limit: int, buckets: int) -> Da
 
     def run(batches):
         parts, size, seen = [], 0, set()
-        for batch in batches:
+        for batch in released(batches):
             new = batch_postings(list(utf8(batch.column(0))), seen)
             parts += new
             size += sum(map(len, new))

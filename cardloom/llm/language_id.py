@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, map_arrow, prepare, utf8
+from .common import bounded_sample, fold, map_arrow, prepare, released, utf8
 
 GRAMS, SLOTS, PER_LANGUAGE, LANDMARKS, RIDGE, EPS = 4, 1 << 16, 400, 96, 1e-2, 1e-6
 #: Languages that one model can tell apart.
@@ -153,7 +153,7 @@ def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
     at = docs.columns.index("text")
 
     def kept(batches):
-        for batch in batches:
+        for batch in released(batches):
             if batch.num_rows:
                 names, scores = _predict(model.value, list(utf8(batch.column(at).cast(pa.string()))))
                 yield batch.filter(pa.array((np.array(names) != UNKNOWN) & (scores >= least)))

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with soft membership.
 
-Domains are classes of the labelled table. A naive Bayes classifier over hashed words, learned from a bounded sample
+Domains are the values of `domain` in a labelled table of (doc_id, domain); the query labels documents by their lang. A naive Bayes classifier over hashed words, learned from a bounded sample
 of labelled texts and tempered on a part of it that it didn't count, gives every document posteriors p over the
 domains. Document rates r >= 0 (how often a document is to be read) are found by projected gradient descent on the
 squares
@@ -14,7 +14,8 @@ documents; a document's rate is replayed from the steps so far, so that no state
 executor costs nothing but its share of one pass.
 
 Defined results: null and empty texts have no words, the domains' shares as posteriors, and a rate all the same;
-without any labelled text the posteriors are equal shares; of repeated labels of an id the worst counts; a null doc_id
+without any labelled text the posteriors are equal shares; labels that are no target's domain, or null, count nowhere, and
+of repeated labels of an id the last in the order of the targets; a null doc_id
 is mixed and never learned from; rows with the same doc_id are mixed one by one. A table without words keeps rate 1.
 """
 
@@ -22,24 +23,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, hash_share, map_arrow, prepare, utf8, write_out
+from .common import bounded_sample, hash_share, map_arrow, prepare, released, utf8, write_out
 from .shingles import word_hashes
 
 #: Domain and its weight: what the mixed corpus is to hold.
-TARGETS = (("good", 0.86), ("poor", 0.09), ("toxic", 0.05))
+TARGETS = (("en", 0.55), ("de", 0.17), ("fr", 0.16), ("es", 0.12))
 SLOT_BITS, PER_DOMAIN, SMOOTH = 16, 2_500, 0.1
 STEPS, CLOSE = 40, 1e-4
 _TEMPERATURES = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0)
 
 
-def domain_of_labels() -> Column:
-    """The domain of a row of the labelled table; null for a row without labels."""
-    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.coalesce("quality", "toxic").isNotNull(), "good")
-
-
 class DomainModel:
     """Posteriors of texts; log-likelihoods of a text of n words are scaled by temperature / sqrt(n)."""
 
@@ -79,7 +75,7 @@ class DomainModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, domains: list[str]) -> DomainModel:
-    number = F.array_position(F.array(*map(F.lit, domains)), domain_of_labels())
+    number = F.array_position(F.array(*map(F.lit, domains)), F.col("domain").cast("string"))
     # of several labels of an id the last domain in the list counts
     labelled = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(number).alias("domain")).where("domain > 0")
     counts = np.zeros(len(domains))
@@ -182,7 +178,7 @@ def apply_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS) -> DataFram
     share = hash_share("doc_id", "mix")
 
     def repeated(batches):
-        for batch in batches:
+        for batch in released(batches):
             if batch.num_rows:
                 _, p = model.value.posteriors(list(utf8(batch.column(at).cast(pa.string()))))
                 draw = batch.column(batch.num_columns - 1).fill_null(0.0).to_numpy(zero_copy_only=False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     decontaminate,
@@ -62,7 +63,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    docs = read(spark, sf_dir, "documents")
+    return mixing.mixing_report(docs, docs.select("doc_id", F.col("lang").alias("domain")))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

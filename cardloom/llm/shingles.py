@@ -10,6 +10,7 @@ _RATE = 0x2545F4914F6CDD1D
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+PART = 1 << 19
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -21,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
-        size = max(n, 2 * len(_powers["up"]))
+        size = 1 << (n - 1).bit_length()
         for name, rate in (("up", _RATE), ("down", pow(_RATE, -1, 1 << 64))):
             steps = np.full(size, rate, np.uint64)
             steps[0] = 1
@@ -30,8 +31,26 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words `[^\\x20\\x09-\\x0D]+` of the texts with A-Z lower-cased; where each text's words begin."""
+    """Hashes of all words `[^\\x20\\x09-\\x0D]+` of the texts with A-Z lower-cased; where each text's words begin.
+
+    Texts are taken in parts of about PART bytes, so that memory follows the longest text and not the batch.
+    """
     lower = [(t or b"").lower() for t in texts]
+    words, begins, at, total = [], [np.zeros(1, np.int64)], 0, 0
+    while at < len(lower):
+        end, size = at, 0
+        while end < len(lower) and (end == at or size + len(lower[end]) <= PART):
+            size += len(lower[end])
+            end += 1
+        found, starts = _hash_part(lower[at:end])
+        words.append(found)
+        begins.append(starts[1:] + total)
+        total += len(found)
+        at = end
+    return np.concatenate(words) if words else np.zeros(0, np.uint64), np.concatenate(begins)
+
+
+def _hash_part(lower: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join([b"", *lower, b""]), np.uint8)
     space = _SPACE[data]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1

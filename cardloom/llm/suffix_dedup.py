@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, prepare, utf8, write_out
+from .common import arrow_schema, map_arrow, prepare, released, utf8, write_out
 from .shingles import _BYTE, _power, mix
 
 LENGTH, ANCHOR = 400, 128
@@ -367,7 +367,7 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         parts, size, seen = [], 0, set()
-        for batch in batches:
+        for batch in released(batches):
             texts = [t or b"" for t in utf8(batch.column(1))]
             names = [text_name(t) for t in texts]
             yield rows(_DOC, len(texts), key=batch.column(0), text=names, n_bytes=[len(t) for t in texts], sha=[hashlib.sha256(t).hexdigest() for t in texts])
