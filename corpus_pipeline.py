@@ -7,6 +7,7 @@ again as the next stage's docs. All but the last return the columns of documents
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cardloom.llm import common, decontaminate, jaccard_join, language_id, mixing, queries, token_output
 
@@ -28,7 +29,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say, so that the domains' expected words match the target weights."""
-    return mixing.apply_rates(docs, common.read(spark, sf_dir, "labels"))
+    return mixing.apply_rates(docs, docs.select("doc_id", F.col("lang").alias("domain")))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
