@@ -8,33 +8,34 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-AMOUNT = F.col("amount_cop").cast("double")
+def amount() -> Column:
+    return F.col("amount_cop").cast("double")
 
 
 def region() -> Column:
     return F.when(F.col("cross_border"), "cross_border").otherwise("domestic")
 
 
-def interchange(amount: Column) -> Column:
+def interchange(value: Column) -> Column:
     """The small tier's price up to and including its limit, else the cell's."""
-    small = F.col("small_ticket_max_cop").isNotNull() & (amount <= F.col("small_ticket_max_cop"))
-    tier = amount * F.col("small_ticket_rate") + F.col("small_ticket_fixed_cop")
-    return F.when(small, tier).otherwise(amount * F.col("rate") + F.col("fixed_cop"))
+    small = F.col("small_ticket_max_cop").isNotNull() & (value <= F.col("small_ticket_max_cop"))
+    tier = value * F.col("small_ticket_rate") + F.col("small_ticket_fixed_cop")
+    return F.when(small, tier).otherwise(value * F.col("rate") + F.col("fixed_cop"))
 
 
 def side_fee(side: str, part: str) -> Column:
     if part == "assessment":
-        return AMOUNT * F.col(f"{side}_assessment_rate")
+        return amount() * F.col(f"{side}_assessment_rate")
     if part == "authorization":
         return F.col(f"{side}_authorization_fee_cop")
-    return F.when(F.col("cross_border"), AMOUNT * F.col(f"{side}_cross_border_rate")).otherwise(F.lit(0.0))
+    return F.when(F.col("cross_border"), amount() * F.col(f"{side}_cross_border_rate")).otherwise(F.lit(0.0))
 
 
 def mdr(pricing_model: str = "pricing_model") -> Column:
     passed_on = F.col("interchange_cop") + F.col("acquirer_network_fee_cop")
-    plus = passed_on + (AMOUNT * F.col("icpp_markup_rate") + F.col("icpp_markup_fixed_cop"))
+    plus = passed_on + (amount() * F.col("icpp_markup_rate") + F.col("icpp_markup_fixed_cop"))
     surcharge = F.when(F.col("cross_border"), F.col("blended_cross_border_rate")).otherwise(F.lit(0.0))
-    flat = AMOUNT * (F.col("blended_mdr_rate") + surcharge)
+    flat = amount() * (F.col("blended_mdr_rate") + surcharge)
     return F.when(F.col(pricing_model) == "icpp", plus).when(F.col(pricing_model) == "blended", flat)
 
 

@@ -60,7 +60,7 @@ def price(purchases: DataFrame, prices: Prices, merchants: DataFrame | None = No
     gap = lambda c, what: F.coalesce(c, F.raise_error(F.lit(f"a purchase has no {what}")).cast("double"))
     side = {s: {p: money.side_fee(s, p) for p in ("assessment", "authorization", "cross_border")} for s in ("issuer", "acquirer")}
     out = out.withColumns({
-        "interchange_cop": gap(money.interchange(money.AMOUNT), "interchange price"),
+        "interchange_cop": gap(money.interchange(money.amount()), "interchange price"),
         **{f"{s}_network_fee_cop": p["assessment"] + p["authorization"] + p["cross_border"] for s, p in side.items()},
         **{f"network_{p}_cop": side["issuer"][p] + side["acquirer"][p] for p in ("assessment", "authorization", "cross_border")},
     })
@@ -69,11 +69,11 @@ def price(purchases: DataFrame, prices: Prices, merchants: DataFrame | None = No
         "network_revenue_cop": F.col("issuer_network_fee_cop") + F.col("acquirer_network_fee_cop"),
         "issuer_gross_cop": F.col("interchange_cop") - F.col("issuer_network_fee_cop"),
         "acquirer_gross_cop": F.col("mdr_cop") - F.col("interchange_cop") - F.col("acquirer_network_fee_cop"),
-        "rewards_cop": money.AMOUNT * F.col("rewards"), "funding_cop": money.AMOUNT * F.col("funding"),
-        "credit_loss_cop": money.AMOUNT * F.col("loss"), "issuer_processing_cop": money.AMOUNT * F.col("processing"),
-        "fraud_loss_cop": F.when(F.col("fraud_flag") & ~F.col("chargeback_flag"), money.AMOUNT).otherwise(F.lit(0.0)),
-        "acquirer_processing_cop": money.AMOUNT * fees.PROCESSING_RATE + fees.PROCESSING_FIXED,
-        "chargeback_cop": F.when(F.col("chargeback_flag"), money.AMOUNT).otherwise(F.lit(0.0)),
+        "rewards_cop": money.amount() * F.col("rewards"), "funding_cop": money.amount() * F.col("funding"),
+        "credit_loss_cop": money.amount() * F.col("loss"), "issuer_processing_cop": money.amount() * F.col("processing"),
+        "fraud_loss_cop": F.when(F.col("fraud_flag") & ~F.col("chargeback_flag"), money.amount()).otherwise(F.lit(0.0)),
+        "acquirer_processing_cop": money.amount() * fees.PROCESSING_RATE + fees.PROCESSING_FIXED,
+        "chargeback_cop": F.when(F.col("chargeback_flag"), money.amount()).otherwise(F.lit(0.0)),
     })
     costs = F.col("rewards_cop") + F.col("funding_cop") + F.col("credit_loss_cop") + F.col("issuer_processing_cop") + F.col("fraud_loss_cop")
     out = out.withColumns({
