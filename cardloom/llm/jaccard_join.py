@@ -133,7 +133,8 @@ def _columns(docs: DataFrame, sketch, bits: int, limit: int, buckets: int) -> Da
         rows, ties = tie(np.concatenate(parts), limit)
         cut = _split(rows, (mix(rows["shingle"]) % np.uint64(buckets)).astype(np.int64))
         if len(ties):
-            cut.append((TIES, ties))
+            # a task's ties need not meet those of others: any bucket below 0 will do
+            cut.append((-1 - len(ties) % buckets, ties))
         data = [[k for k, _ in cut], [_pack(x) for _, x in cut]]
         return pa.RecordBatch.from_arrays([pa.array(data[0], pa.int32()), pa.array(data[1], pa.binary())], schema=schema)
 
@@ -320,13 +321,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return pa.table([[k for k, _ in out] + [TIES], [_pack(x) for _, x in out] + [_pack(ties)]], schema=arrow_schema("bucket int, data binary"))
 
     columns = _columns(docs, sketch, bits, limit, buckets)
-
-    def spread(batch: pa.RecordBatch) -> dict:
-        # the ties of a task of columns need no meeting: each of them is a group of its own
-        own = [k if k != TIES else TIES - 1 - node % buckets for k, node in zip(batch.column(0).to_pylist(), map(len, batch.column(1).to_pylist()))]
-        return {"bucket": own, "data": batch.column(1)}
-
-    blocks = write_out(map_arrow(columns, spread, "bucket int, data binary").groupBy("bucket").applyInArrow(block, "bucket int, data binary"), "pairs")
+    blocks = write_out(columns.groupBy("bucket").applyInArrow(block, "bucket int, data binary"), "pairs")
 
     def decide(table: pa.Table) -> pa.Table:
         pairs = add_up(np.concatenate([_unpack(x, _PAIR) for x in table.column("data").to_pylist()]))

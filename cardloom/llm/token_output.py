@@ -32,18 +32,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import arrow_schema, hash_share, map_arrow, new_path, prepare, utf8
+from .common import arrow_schema, hash_share, map_arrow, new_path, prepare, release, utf8
 
 MAGIC = b"CLT1"
 HEAD = len(MAGIC) + 1 + 32
 TAIL = "<QQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u8")])
 #: Documents in a shard, about; and of the sample that the dictionary is trained on.
-SHARD_DOCS, SAMPLE_DOCS, SAMPLE_PIECE, DICTIONARY_BYTES, LEVEL = 16_384, 2_000, 2_048, 65_536, 3
+SHARD_DOCS, SAMPLE_DOCS, SAMPLE_PIECE, DICTIONARY_BYTES, LEVEL = 8_192, 2_000, 2_048, 65_536, 3
 #: Words whose ids a worker remembers.
-MEMO = 700_000
+MEMO = 450_000
 
 
+#: Words of a-z and of the small letters from U+00DF to U+00FF.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 LETTER_STOP = re.compile(rb"([a-z])([.,])")
 
 
@@ -56,17 +58,16 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_path: str) -> None:
-        from tokenizers import Tokenizer
-        from tokenizers.normalizers import Sequence
-        from tokenizers.pre_tokenizers import WhitespaceSplit
+        from tokenizers import Tokenizer, normalizers
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.memo: dict[bytes, bytes] = {}
-        # words of a-z alone need neither normalizing nor cutting; each of them ends with its only end-of-word id
+        # words of small Latin letters alone need neither normalizing nor cutting; each ends with its only end-of-word id
         self.plain = Tokenizer.from_file(tokenizer_path)
-        self.plain.normalizer = Sequence([])
-        self.plain.pre_tokenizer = WhitespaceSplit()
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if suffix:
@@ -77,7 +78,7 @@ class Encoder:
         new = list(set(chain.from_iterable(split)) - self.memo.keys())
         if len(self.memo) + len(new) > MEMO:
             self.memo, new = {}, list(set(chain.from_iterable(split)))
-        plain = [w for w in new if w.isalpha()] if self.ends.any() else []
+        plain = [w for w in new if LETTERS.fullmatch(w)] if self.ends.any() else []
         other = list(set(new).difference(plain))
         for k in range(0, len(plain), 20_000):
             self.learn_plain(plain[k : k + 20_000])
@@ -196,6 +197,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         body = b"".join([MAGIC, bytes([width]), digest, *parts])
         data = body + index.tobytes() + struct.pack(TAIL, len(body), len(parts), MAGIC)
         files.write(path := f"{folder}/shard-{shard:06d}.tok", data)
+        release()
         row = [[shard], [path], [len(parts)], [int(index["ids"].sum())], [len(data)]]
         return pa.table(row, schema=arrow_schema(done_schema))
 
