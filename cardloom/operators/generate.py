@@ -11,8 +11,8 @@ from ..sources import fees
 
 #: Yearly profile of spending and the mix of groups, in the order of fees.GROUPS.
 GROUP_MIX = (0.24, 0.07, 0.06, 0.14, 0.07, 0.14, 0.04, 0.03, 0.09, 0.06, 0.02, 0.04)
-MONTHS = (0.94, 0.92, 0.98, 0.97, 1.00, 1.01, 0.99, 1.00, 0.98, 1.01, 1.06, 1.24)
-PAYDAYS, PAYDAY_BOOST, GROWTH = (1, 15, 16, 30), 1.15, 1.06
+MONTHS = (0.90, 0.92, 0.97, 0.96, 1.00, 1.04, 1.02, 0.99, 0.98, 1.00, 1.06, 1.30)
+PAYDAYS, PAYDAY_BOOST, GROWTH = (1, 14, 15, 16, 29, 30, 31), 1.15, 1.19
 WEEKEND_SHOPPING = (0.90, 0.90, 0.95, 1.00, 1.10, 1.30, 1.05)
 PRODUCT_MIX = {"debit": 0.55, "credit_standard": 0.27, "credit_premium": 0.12, "commercial": 0.06}
 
@@ -119,7 +119,7 @@ def purchases(spark: SparkSession, n: int, cards: DataFrame, shops: DataFrame, s
     amount = F.greatest(F.round(lognormal(40_000.0, 0.9, key, F.lit(seed), F.lit("amount"))), F.lit(1.0)).cast("bigint")
     out = out.join(cards.select("cardholder_id", "product", "issuer_id"), "cardholder_id").join(shops.select("merchant_id", "mcc_group", "channel", "acquirer_id"), "merchant_id")
     abroad = hashed_uniform(key, seed, "abroad") < 0.04
-    token = (F.col("channel") == "cnp") & (hashed_uniform(key, seed, "token") < 0.4)
+    token = (F.col("channel") == "cnp") & (hashed_uniform(key, seed, "token") < 0.5)
     out = out.withColumns({"amount_cop": amount, "cross_border": abroad, "tokenized": token})
     out = fraud_probability(out, fees.groups(spark))
     fraud = hashed_uniform(key, seed, "fraud") < F.col("fraud_probability")

@@ -102,3 +102,21 @@ def top_share(values: DataFrame, column: str, fraction: float) -> DataFrame:
 def dense_index(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     """Distinct keys with their positions from 0 in ascending order."""
     return df.select(key).distinct().withColumn(name, F.row_number().over(W.orderBy(key)) - 1)
+
+
+def shuffled_modularity(pairs: DataFrame, labels: DataFrame, times: int, seed: str = "null") -> DataFrame:
+    """Modularity of `times` shuffles of the labels inside each side: what chance alone gives.
+
+    A shuffle ranks the nodes of a side by a hash and hands them the labels in id order.
+    """
+    from ..functions.money import hashed_uniform
+
+    out = None
+    for k in range(times):
+        u = hashed_uniform(F.col("id").cast("string"), F.col("node_type"), seed, str(k))
+        side = W.partitionBy("node_type")
+        to = labels.select("node_type", "id", F.row_number().over(side.orderBy(u, "id")).alias("r"))
+        of = labels.select("node_type", "community", F.row_number().over(side.orderBy("id")).alias("r"))
+        row = modularity(pairs, to.join(of, ["node_type", "r"]).select("node_type", "id", "community")).select(F.lit(k).alias("shuffle"), "modularity")
+        out = row if out is None else out.union(row)
+    return out

@@ -60,6 +60,24 @@ def cardholder_vectors(pairs: DataFrame, vectors: DataFrame, dims: int) -> DataF
     return out.select("cardholder_id", F.array(*(F.col(f"s{k}") / F.greatest(F.col("n"), F.lit(1)) for k in range(dims))).alias("vector"))
 
 
+def embedding_scores(split: dict[str, DataFrame], vectors: DataFrame, dims: int) -> DataFrame:
+    """Cosine of each evaluated cardholder's profile and each candidate's vector; candidates without a vector raise."""
+    if split["candidates"].join(vectors, "merchant_id", "left_anti").limit(1).count():
+        raise ValueError("a candidate has no vector")
+    unit = lambda c: F.transform(c, lambda x: x / F.greatest(money.norm(F.col(c)), F.lit(1e-12)))
+    cards = cardholder_vectors(split["train"].join(split["cardholders"], "cardholder_id", "left_semi"), vectors, dims)
+    shops = split["candidates"].join(vectors, "merchant_id").select("merchant_id", unit("vector").alias("b"))
+    grid = cards.select("cardholder_id", unit("vector").alias("a")).join(F.broadcast(shops))  # candidates are capped
+    return grid.select("cardholder_id", "merchant_id", money.dot(F.col("a"), F.col("b")).alias("score"))
+
+
+def restrict(split: dict[str, DataFrame], scorable: DataFrame) -> dict[str, DataFrame]:
+    """The split with only scorable candidates; positives and cardholders that lose all of theirs go."""
+    candidates = split["candidates"].join(scorable.select("merchant_id").distinct(), "merchant_id", "left_semi")
+    positives = split["positives"].join(candidates.select("merchant_id"), "merchant_id", "left_semi")
+    return split | {"candidates": candidates, "positives": positives, "cardholders": positives.select("cardholder_id").distinct()}
+
+
 def top_k(scores: DataFrame, split: dict[str, DataFrame], k: int = 10) -> DataFrame:
     """The k best new candidates of each cardholder, ties by the smaller merchant; pairs of training don't compete."""
     fresh = scores.join(split["train"].select("cardholder_id", "merchant_id"), ["cardholder_id", "merchant_id"], "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import acceptance, expectations, generate, graph, links, marts, pnl, profile, segment, shapley, waterfall
+from ..operators import acceptance, affinity, expectations, generate, graph, links, marts, pnl, profile, segment, shapley, waterfall
 from ..sources import bridge, fees
 from .oracle import over_fact, over_tables
 
@@ -812,7 +812,7 @@ def _(spark, d):
     return bridge.merchants(spark, d).groupBy("size_tier").agg(F.count("*").alias("n"), F.min("size_weight").alias("least"), F.max("size_weight").alias("most"))
 
 
-@query("g32_day_weights", "select d::date as day, round([0.94, 0.92, 0.98, 0.97, 1.00, 1.01, 0.99, 1.00, 0.98, 1.01, 1.06, 1.24][month(d)]::double * pow(1.06, year(d) - 2024) * if(day(d) in (1, 15, 16, 30), 1.15, 1) * [0.90, 0.90, 0.95, 1.00, 1.10, 1.30, 1.05][isodow(d)]::double, 10) as weight from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2025-12-31', interval 1 day)) as d) x")
+@query("g32_day_weights", "select d::date as day, round([0.90, 0.92, 0.97, 0.96, 1.00, 1.04, 1.02, 0.99, 0.98, 1.00, 1.06, 1.30][month(d)]::double * pow(1.19, year(d) - 2024) * if(day(d) in (1, 14, 15, 16, 29, 30, 31), 1.15, 1) * [0.90, 0.90, 0.95, 1.00, 1.10, 1.30, 1.05][isodow(d)]::double, 10) as weight from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2025-12-31', interval 1 day)) as d) x")
 def _(spark, d):
     return rounded(generate.day_weights(spark, "2024-01-01", "2025-12-31"))
 
@@ -837,6 +837,68 @@ def _(spark, d):
     return generate.purchases(spark, 5_000, cards, shops, "q")
 
 
+_boosts = ", ".join(f"('{s}', '{g}', {w * affinity.BOOSTS[s].get(g, 1.0)!r}::double)" for s in affinity.LIFESTYLES for g, w in zip(fees.GROUPS, generate.GROUP_MIX, strict=True))
+_mixes = ", ".join(f"('{p}', '{s}', {x!r}::double, {generate.PRODUCT_MIX[p]!r}::double)" for p, mix in affinity.LIFESTYLE_MIX.items() for s, x in zip(affinity.LIFESTYLES, mix, strict=True))
+AFFINITY = f"""with boosts(segment, mcc_group, w) as (select * from (values {_boosts}) v), mixes(product, segment, x, p) as (select * from (values {_mixes}) v),
+prototypes as (select segment, mcc_group, w / sum(w) over (partition by segment) as share from boosts), shares as (select segment, sum(x * p) as share from mixes group by segment),
+clienteles as (select mcc_group, segment, a.share * b.share / sum(a.share * b.share) over (partition by mcc_group) as share from prototypes a join shares b using (segment)) """
+_simple("g22_prototypes", lambda s, d: affinity.prototypes(s), AFFINITY + "select segment, mcc_group, round(share, 10) as share from prototypes")
+_simple("g23_segment_shares", lambda s, d: affinity.segment_shares(s), AFFINITY + "select segment, round(share, 10) as share from shares")
+_simple("g24_clienteles", lambda s, d: affinity.clienteles(s), AFFINITY + "select mcc_group, segment, round(share, 10) as share from clienteles")
+
+
+@query("g28_favorites")
+def _(spark, d):
+    shops = affinity.with_clientele(generate.merchants(spark, 400, "f"), "f")
+    return affinity.favorites(affinity.with_lifestyle(generate.cardholders(spark, 200, "f"), "f"), shops, "f")
+
+
+@query("g25_preferences")
+def _(spark, d):
+    return affinity.preferences(affinity.with_lifestyle(generate.cardholders(spark, 200, "f"), "f")).select("cardholder_id", F.explode("preference").alias("mcc_group", "share"))
+
+
+@query("g39_shuffled_modularity")
+def _(spark, d):
+    p = _pairs(spark, d)
+    label = lambda kind, c: p.select(F.lit(kind).alias("node_type"), F.col(c).alias("id"), (F.col(c) % 5).alias("community")).distinct()
+    return graph.shuffled_modularity(p, label("c", "cardholder_id").union(label("m", "merchant_id")), 3)
+
+
+def _tier_segments(p):
+    return p.select("merchant_id", F.array_position(F.array(*(F.lit(t) for t, _ in fees.TIERS)), F.col("size_tier")).cast("int").alias("segment"))
+
+
+@query("m11_compare")
+def _(spark, d):
+    p = _profile(spark, d)
+    return segment.compare(p, {"mcc_group": segment.group_segments(p), "size_tier": _tier_segments(p)})
+
+
+@query("m17_segment_mix", over_fact("select case size_tier when 'large' then 1 when 'medium' then 2 when 'small' then 3 else 4 end::int as segment, mcc_group, round(count(*) / sum(count(*)) over (partition by size_tier), 10) as share from profile group by size_tier, mcc_group", PROFILE))
+def _(spark, d):
+    p = _profile(spark, d)
+    return rounded(segment.segment_mix(p, _tier_segments(p)))
+
+
+@query("m18_segments_frame", over_fact("select merchant_id, pos::int as mcc_group, case size_tier when 'large' then 1 when 'medium' then 2 when 'small' then 3 else 4 end::int as size_tier from profile join groups using (mcc_group)", PROFILE))
+def _(spark, d):
+    p = _profile(spark, d)
+    return segment.side_by_side(p, {"mcc_group": segment.group_segments(p), "size_tier": _tier_segments(p)})
+
+
+@query("l17_embedding_scores", over_tables("""select cardholder_id, merchant_id, round(list_dot_product(u, v) / sqrt(list_dot_product(u, u) * list_dot_product(v, v)), 8) as score from
+ (select cardholder_id, [""" + ", ".join(f"sum(n_txns * v[{k}]) / sum(n_txns)" for k in range(1, 65)) + """] as u from train join vectors using (merchant_id) where cardholder_id in (select cardholder_id from cards) group by cardholder_id) c, (select merchant_id, v from candidates join vectors using (merchant_id)) k""", EDGES, SPLIT, VECTORS))
+def _(spark, d):
+    return links.embedding_scores(_split(spark, d), _vectors(spark, d), 64).withColumn("score", F.round("score", 8))
+
+
+@query("l11_restricted_positives", over_tables("select * from positives where merchant_id % 2 = 0", EDGES, SPLIT))
+def _(spark, d):
+    s = _split(spark, d)
+    return links.restrict(s, s["candidates"].where("merchant_id % 2 = 0"))["positives"].select("cardholder_id", "merchant_id")
+
+
 @query("p06_streamed_edges", over_tables("select * from edges", EDGES))
 def _(spark, d):
     from ..streaming.edges import edges_of_table
