@@ -39,7 +39,7 @@ HEAD = len(MAGIC) + 1 + 32
 TAIL = "<QQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u8")])
 #: Documents in a shard, about; and of the sample that the dictionary is trained on.
-SHARD_DOCS, SAMPLE_DOCS, SAMPLE_PIECE, DICTIONARY_BYTES, LEVEL = 8_192, 2_000, 2_048, 65_536, 3
+SHARD_DOCS, SAMPLE_DOCS, SAMPLE_PIECE, DICTIONARY_BYTES, LEVEL = 8_192, 2_000, 2_048, 65_536, 1
 #: Words whose ids a worker remembers.
 MEMO = 450_000
 
@@ -75,7 +75,7 @@ class Encoder:
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         split = [self.words(x or b"") for x in texts]
-        new = list(set(chain.from_iterable(split)) - self.memo.keys())
+        new = [w for w in set(chain.from_iterable(split)) if w not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo, new = {}, list(set(chain.from_iterable(split)))
         plain = [w for w in new if LETTERS.fullmatch(w)] if self.ends.any() else []
