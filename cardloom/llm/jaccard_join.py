@@ -257,7 +257,8 @@ def _verify(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, parallel: in
         .join(nodes, "node")
         .select("doc_id", "node", "component", "blocks")
     )
-    texts = docs.join(placed, "doc_id").select("node", "component", "blocks", "text")
+    # the list of wanted documents grows with the corpus, so it is never broadcast
+    texts = docs.join(placed.hint("merge"), "doc_id").select("node", "component", "blocks", "text")
 
     def to_sets(batch: pa.RecordBatch) -> dict:
         # a doc_id that stands for several texts brings them all; the set's name tells which one is meant
@@ -356,4 +357,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = write_out(near_duplicates(docs), "near")
     stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col("doc_id").cast("bigint") == F.col("_stays"), "left_semi").unionByName(docs.where("doc_id is null"))
+    return docs.join(stays.hint("merge"), F.col("doc_id").cast("bigint") == F.col("_stays"), "left_semi").unionByName(docs.where("doc_id is null"))
