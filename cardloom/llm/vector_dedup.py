@@ -31,6 +31,8 @@ from .common import arrow_schema, components, hash_share, map_arrow, prepare, ra
 RADIUS = 0.98
 OVERLAP, BLOCK, DEGREE, MOST, ALPHA, BEAM, CANDIDATES = 3, 1_024, 24, 64, 1.2, 8, 96
 SAMPLE, SHARD, MAX_CENTROIDS, AUDIT, RECALL = 20_000, 512, 4_096, 500, 0.95
+#: Labels are classes: each has a shard at least, and its row in a list that all tasks get.
+MAX_KINDS = 100_000
 
 
 def _nodes(vectors: DataFrame) -> DataFrame:
@@ -321,6 +323,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     )
     nodes = write_out(nodes, "nodes")
     counts = {r[0]: r[1] for r in nodes.groupBy("kind").count().collect()}
+    if len(counts) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} labels")
     recall, overlap = 0.0, OVERLAP
     while True:
         found = _links(nodes, counts, overlap)
