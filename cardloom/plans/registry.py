@@ -744,6 +744,21 @@ def _(spark, d):
     return rounded(links.ranking_metrics(links.random_scores(s), s))
 
 
+@query("l12_graph_convolutions")
+def _(spark, d):
+    import numpy as np
+
+    from ..operators import graphsage
+
+    rows = sorted(map(tuple, _pairs(spark, d).select("cardholder_id", "merchant_id").orderBy(money.hashed_uniform(F.concat_ws("|", "cardholder_id", "merchant_id"), "sage"), "cardholder_id", "merchant_id").limit(50_000).collect()))
+    cards, shops = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    at_c, at_m = {k: i for i, k in enumerate(cards)}, {k: i for i, k in enumerate(shops)}
+    edges = np.array([(at_c[c], at_m[m]) for c, m in rows])
+    degree = lambda k, n: np.c_[np.log1p(np.bincount(edges[:, k], minlength=n)), np.ones(n), np.random.default_rng(k).normal(size=(n, 6))]
+    fit = graphsage.train(edges, degree(0, len(cards)), degree(1, len(shops)), dims=16, epochs=20)
+    return spark.createDataFrame([(m, v.tolist()) for m, v in zip(shops, fit.merchants, strict=True)], "merchant_id bigint, vector array<double>")
+
+
 @query("l20_bootstrap_gap")
 def _(spark, d):
     s = _split(spark, d)
