@@ -25,9 +25,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches of whole texts to a few MB; give executors this package, which they may not have installed."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     context = spark.sparkContext
     if getattr(context, "_cardloom_shipped", False):
         return

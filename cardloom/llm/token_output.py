@@ -40,8 +40,9 @@ TAIL = "<QQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u8")])
 #: Documents in a shard, about; and of the sample that the dictionary is trained on.
 SHARD_DOCS, SAMPLE_DOCS, SAMPLE_PIECE, DICTIONARY_BYTES, LEVEL = 8_192, 2_000, 2_048, 65_536, 1
-#: Words whose ids a worker remembers.
-MEMO = 450_000
+#: Rows of a batch: of more texts at once fewer words are new. Words whose ids a worker remembers.
+ROWS = 512
+MEMO = 700_000
 
 
 #: Words of a-z and of the small letters from U+00DF to U+00FF.
@@ -159,7 +160,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, ROWS)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
     dictionary = train_dictionary(_sample(docs, tokenizer_path, width))
@@ -201,7 +202,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         row = [[shard], [path], [len(parts)], [int(index["ids"].sum())], [len(data)]]
         return pa.table(row, schema=arrow_schema(done_schema))
 
+    # this runs before the function returns, so the wider batches are its own
     shards = sorted(map(tuple, frames.groupBy("shard").applyInArrow(write_shard, done_schema).collect()))
+    prepare(spark)
     starts = np.cumsum([0, *(s[3] for s in shards)]).tolist()
     manifest = {
         "tokenizer_sha256": hashlib.sha256(open(tokenizer_path, "rb").read()).hexdigest(),
