@@ -691,7 +691,7 @@ known as (select distinct cardholder_id, merchant_id from edges, cut where txn_m
 cards as (select cardholder_id from (select distinct cardholder_id from known) order by {HASHED("cardholder_id", "split")}, cardholder_id limit 200),
 positives as (select * from known where cardholder_id in (select cardholder_id from cards))"""
 SUPPLIER_GROUPS = "supplier_groups as (select s_suppkey as merchant_id, mcc_group from supplier join groups on pos = s_suppkey % 12)"
-METRICS = """select round(avg(h / w), 10) as recall_at_k, round(avg((h > 0)::int), 10) as hit_rate_at_k, round(avg(coalesce(1.0::double / f, 0)), 10) as mrr, count(*) as cardholders, sum(w)::bigint as positives, round((select count(distinct merchant_id) from top) / (select count(*) from candidates)::double, 10) as coverage
+METRICS = """select round(avg(coalesce(h, 0) / w), 10) as recall_at_k, round(avg((coalesce(h, 0) > 0)::int), 10) as hit_rate_at_k, round(avg(coalesce(1.0::double / f, 0)), 10) as mrr, count(*) as cardholders, sum(w)::bigint as positives, round((select count(distinct merchant_id) from top) / (select count(*) from candidates)::double, 10) as coverage
  from (select cardholder_id, count(*)::double as w from positives group by all) p left join (select cardholder_id, count(q.x)::double as h, min(r) filter (q.x = 1) as f from top left join (select *, 1 as x from positives) q using (cardholder_id, merchant_id) group by cardholder_id) t using (cardholder_id)"""
 
 
