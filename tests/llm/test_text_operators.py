@@ -385,3 +385,10 @@ def test_mixing_meets_its_targets(spark, small, none):
 def test_replay_projects():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert mixing.replay(p, np.array([[2.0, 0.0], [-0.5, 0.0]])).tolist() == [0.5, 0.25]
+
+
+def test_a_very_common_line(spark):
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), F.lit("one very common line of text here and there").alias("text"))
+    rows = line_dedup._classes(docs).collect()
+    assert len(rows) == 1 and rows[0]["times"] == 6_000 and rows[0]["sim"] is not None
+    assert line_dedup.line_report(docs).where("n_removed_lines = 1").count() == 5_999
