@@ -392,3 +392,30 @@ def test_a_very_common_line(spark):
     rows = line_dedup._classes(docs).collect()
     assert len(rows) == 1 and rows[0]["times"] == 6_000 and rows[0]["sim"] is not None
     assert line_dedup.line_report(docs).where("n_removed_lines = 1").count() == 5_999
+
+
+def test_lines_meet_by_edit_similarity_alone(spark):
+    draw = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(draw.choice(letters) for _ in range(draw.randint(3, 8)))
+    rows, pairs = [], []
+    for k in range(300):
+        words = [word() for _ in range(5 + k % 26)]
+        line = " ".join(words)
+        at = draw.randrange(len(words))
+        other = words[at][:-1] + ("q" if words[at][-1] != "q" else "z") if k % 2 else word()[: len(line) // 10]
+        near = " ".join([*words[:at], other, *words[at + 1 :]])
+        if distance(line, near) <= 0.1 * max(len(line), len(near)):
+            pairs.append(2 * k + 1)
+        rows += [(2 * k, line), (2 * k + 1, near)]
+    got = {r["doc_id"]: r["n_removed_lines"] for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(pairs) > 200 and {i for i, n in got.items() if n} == set(pairs)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
