@@ -170,7 +170,8 @@ def tie(rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 def block_pairs(rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(pairs with counts, ties of frequent shingles) of one block of columns."""
-    rows = rows[np.lexsort((rows["node"], rows["shingle"]))]
+    # of equal rows the marked one is first, and stays
+    rows = rows[np.lexsort((rows["n"], rows["node"], rows["shingle"]))]
     same = (rows["shingle"][1:] == rows["shingle"][:-1]) & (rows["node"][1:] == rows["node"][:-1])
     rows = rows[np.r_[True, ~same]]
     first = np.flatnonzero(np.r_[True, rows["shingle"][1:] != rows["shingle"][:-1]])

@@ -419,3 +419,13 @@ def distance(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
     return row[-1]
+
+
+def test_a_mark_outlasts_an_unmarked_copy():
+    posting = lambda nodes: np.array([(7, k, 20, 1) for k in nodes], jaccard_join._POSTING)
+    hot, tied = jaccard_join.tie(posting(range(10)), 5)
+    assert len(hot) == 1 and set(tied[:, 1]) == set(range(1, 10))
+    other = posting([0, 20, 21])
+    for blobs in ((hot, other), (other, hot)):
+        pairs, ties = jaccard_join.block_pairs(np.concatenate(blobs), 5)
+        assert len(pairs) == 0 and set(map(tuple, ties.tolist())) == {(0, 20), (0, 21)}
