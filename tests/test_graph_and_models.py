@@ -147,3 +147,22 @@ def test_stream_of_edges(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("edges").collect()) == sorted(stream_edges.monthly_edges(t).collect())
+
+
+def test_queries_without_sql_run_on_all_pairs(spark, monkeypatch):
+    from cardloom.operators import graphsage
+    from cardloom.plans import registry
+
+    folder, seen = "/root/testdata/sf0.1", []
+
+    def train(edges, cards, merchants, **kwargs):
+        seen.append(len(edges))
+        return graphsage.Fit(np.zeros((len(cards), 1)), np.zeros((len(merchants), 1)))
+
+    monkeypatch.setattr(graphsage, "train", train)
+    registry.QUERIES["l12_graph_convolutions"](spark, folder)
+    assert seen == [registry._pairs(spark, folder).count()] and seen[0] > 50_000
+    split, caps = links.temporal_split, []
+    monkeypatch.setattr(links, "temporal_split", lambda edges, **kwargs: caps.append(kwargs) or split(edges, **kwargs))
+    registry.QUERIES["l20_bootstrap_gap"](spark, folder)
+    assert caps == [{}]
