@@ -429,3 +429,11 @@ def test_a_mark_outlasts_an_unmarked_copy():
     for blobs in ((hot, other), (other, hot)):
         pairs, ties = jaccard_join.block_pairs(np.concatenate(blobs), 5)
         assert len(pairs) == 0 and set(map(tuple, ties.tolist())) == {(0, 20), (0, 21)}
+
+
+def test_lines_of_few_words_go_too(spark):
+    chinese = "\u8fd9\u662f\u4e00\u884c\u6ca1\u6709\u7a7a\u683c\u7684\u6587\u5b57\u5728\u8bb8\u591a\u6587\u4ef6\u91cc\u91cd\u590d\u51fa\u73b0"
+    lines = [chinese, "All rights reserved", "Read more", "2024-11-26", "-------"]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "2024-11-27\nChapter 1\n" + chinese[:11] + "\u5b57" + chinese[12:]), (4, "Chapter 2\n\n \n12")]
+    got = {r["doc_id"]: r["n_removed_lines"] for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 0, 2: 5, 3: 1, 4: 0}
