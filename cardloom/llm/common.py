@@ -80,6 +80,15 @@ def drop_scratch(spark: SparkSession) -> None:
         delete(spark, _tables.pop())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(F.col(key).cast("string")) % folds
