@@ -165,6 +165,37 @@ def test_longest_match():
     assert (got["longest_match"][0], got["longest_at"][0], got["n_hit"][0]) == (21, 2, 21)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60), st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=9), min_size=1, max_size=4))
+def test_longest_match_of_every_suffix(numbers, items):
+    block = decontaminate.Benchmark([(str(k), b" ".join(b"t%d" % w for w in item)) for k, item in enumerate(items)])
+    text = [b"t%d" % w if w else b"no" for w in numbers]
+    shard, _ = block.shard([text])
+    to_first_unknown = lambda i: (text[i:] + [b"no"])[: (text[i:] + [b"no"]).index(b"no")]
+    known = [i for i, w in enumerate(text) if w in block.vocabulary]
+    cut = lambda i: [block.vocabulary[w] for w in __import__("itertools").takewhile(block.vocabulary.__contains__, to_first_unknown(i))]
+    assert [cut(i) for i in shard.order.tolist()] == sorted(map(cut, known))
+    length, place = shard.deepest(block.keys, block.place, block.left)
+    texts = list(dict.fromkeys(tuple(b"t%d" % w for w in item) for item in items))
+    for t, offset, n, at in zip(block.text.tolist(), block.offset.tolist(), length.tolist(), place.tolist()):
+        suffix = list(texts[t][offset:])
+        want = max((k for k in range(len(suffix) + 1) for i in range(len(text)) if k and text[i : i + k] == suffix[:k]), default=0)
+        assert n == want and (n == 0 or text[at : at + n] == suffix[:n])
+
+
+def test_longest_matches(spark, odd):
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    got = {(r["item_id"], r["item_word"]): r["n_words"] for r in decontaminate.longest_matches(odd, items).collect()}
+    find = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+").findall
+    texts = [" ".join(["", *find((t or "").lower()), ""]) for _, t in odd_rows()]
+    for i, t in ITEMS:
+        w = find((t or "").lower())
+        for k in range(len(w)):
+            want = max((n for n in range(1, len(w) - k + 1) if any(" " + " ".join(w[k : k + n]) + " " in x for x in texts)), default=0)
+            if [j for j, _ in ITEMS].count(i) == 1:
+                assert got.get(("" if i is None else str(i), k), 0) == want
+
+
 # Repeated substrings
 
 
