@@ -87,3 +87,31 @@ def test_bad_hosts_are_blocked(spark):
     labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(60)], "doc_id bigint, quality int, toxic int")
     got = {(r["host"], r["verdict"]) for r in url_filter.url_verdicts(pages, labels).collect()}
     assert got == {("bad.example.org", "block"), ("good.example.org", "allow")}
+
+
+def test_registered_domains_and_the_limit(spark):
+    urls = [(k, f"http://{h}/en/{k}") for k, h in enumerate(["a.b.co.uk", "b.co.uk", "co.uk", "x.y.z.org", "localhost", ""])]
+    page = url_filter.host_and_path(spark.createDataFrame(urls, "page_id bigint, url string"))
+    assert [(r["domain"], r["suffix"]) for r in page.orderBy("page_id").collect()] == [
+        ("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("z.org", "org"), ("localhost", "localhost"), ("", ""),
+    ]
+    # two of twelve hosts are bad; the others differ by chance
+    pages = [(k, f"http://h{k % 12}.example.org/de/{k}") for k in range(1_200)]
+    labels = [(k, 0 if k * 7 % 10 < (9 if k % 12 in (3, 8) else 2) else 1, 0) for k in range(1_200)]
+    pages, labels = spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r["host"]: r["verdict"] for r in url_filter.url_verdicts(pages, labels).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"h3.example.org", "h8.example.org"} and len(got) == 12
+
+
+def test_the_oracle_blocks_the_same_planted_hosts(spark, small):
+    pages, labels = common.read(spark, small, "pages"), common.read(spark, small, "labels")
+    bad = pages.selectExpr("page_id + 1000000 as page_id", "concat('http://', if(page_id % 3 = 0, 'spam.bad.co.uk', 'ok.fine.org'), '/en/', page_id + 1000000) as url")
+    pages = pages.select("page_id", "url").union(bad)
+    labels = labels.select("doc_id", "quality", "toxic").union(bad.selectExpr("page_id as doc_id", "if(page_id % 3 = 1 and page_id % 10 < 9, 0, 1) as quality", "0 as toxic"))
+    con = duckdb.connect()
+    for name, df in (("pages", pages), ("labels", labels)):
+        con.register(name, df.toPandas())
+    text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    got = url_filter.url_verdicts(pages, labels).collect()
+    assert text(map(tuple, got)) == text(con.execute(url_filter.sql()).fetchall())
+    assert any(r["rule"] is None and r["verdict"] == "block" for r in got)
