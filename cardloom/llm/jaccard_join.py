@@ -2,21 +2,27 @@
 
 1. Each text becomes its set of shingles. Texts with equal sets are one node, named by a hash of the set.
 2. All sets are counted into a sketch of shingle frequencies (at least as large as the true ones), which puts the
-   shingles in one order: rare ones first, then those that LIST texts or more may have. Two sets that link share one of
+   shingles in one order: rare ones first, then by the power of two of their counts. Two sets that link share one of
    their first n - ceil(0.8 n) + 1 shingles in that order, so only those columns of the incidence matrix are multiplied.
 3. The columns are dealt into blocks by hash. A block finds the nodes of each of its shingles and adds up, for each pair
    of nodes, how many they share. The sums of all blocks meet, and pairs are discarded whose sum, plus what the columns
    not multiplied could add, is below the overlap that their sizes ask for.
 4. A shingle that more than LIST nodes have makes no pairs: its nodes are tied to its smallest node. A task that holds
-   as many itself ties them at once and sends one node, marked, in place of all.
+   as many itself ties them at once and sends one node, marked, in place of all. A pair that shares such a shingle is in
+   one cluster by these ties, whatever its sum; the sum of any other pair is exact.
 5. What remains falls into clusters, in which all pairs are multiplied over all columns: several small clusters in a
-   task, a large cluster in pairs of blocks of BLOCK nodes. They return the links that join groups, not all links.
+   task, a large cluster of g nodes in pairs of blocks of BLOCK nodes, which moves each set g / BLOCK times. They return
+   the links that join groups, not all links.
 
-So a group of copies of any size sends rows in proportion to its size, and every pair that could link is decided
-exactly. The sketch has at most 2^26 counters; with more text, more counts as frequent, which costs time and no result.
+Copies are one node, so a group of equal texts of any size costs a row a text. Which pairs are candidates never depends on
+the sketch, only on how many there are: it has at most 2^26 counters (64 MB to every executor), and with more text than 2^30
+shingles the order gets coarser, so that a shingle counts as more frequent than others from a higher number on.
+
+Sets and texts are known by 64-bit hashes; two different sets of one name would be taken for equal (one in 2^64 for a pair).
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows with the same doc_id are
-judged each by its text, and a null doc_id is named by the other members of its group, or null.
+judged each by its text, and a null doc_id is named by the other members of its group, or null. Sets of equal size and
+frequency are ordered by hash, so ties don't change the result. Other columns of docs may have any name.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, map_arrow, prepare, released, utf8, write_out
+from .common import arrow_schema, components, fresh, map_arrow, prepare, released, utf8, write_out
 from .shingles import mix, shingle_sets
 
 WORDS = 5
@@ -39,8 +45,8 @@ LIST, BLOCK, COLUMNS = 64, 512, 1_000_000
 SLICE_BITS, TIES = 16, -1
 _NULL_ID = -(1 << 63)
 #: n is negative for the mark of a shingle whose other nodes its task has tied.
-_POSTING = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("n", "<i4"), ("frequent", "<i4")])
-_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4"), ("free", "<i4"), ("count", "<i4")])
+_POSTING = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("n", "<i4")])
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4"), ("count", "<i4")])
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -68,37 +74,38 @@ def _split(x: np.ndarray, bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def _sets(docs: DataFrame, sketch_bits: int) -> DataFrame:
-    """A row for each text (doc_id, node, n), and the task's counts of shingles in slices of the sketch."""
-    schema = arrow_schema("doc_id bigint, node bigint, n int, slice int, counts binary")
+    """A row for each text (doc_id, body, node, n), and the task's counts of shingles in slices of the sketch."""
+    kinds = "doc_id bigint, body bigint, node bigint, n int, slice int, counts binary"
+    schema = arrow_schema(kinds)
     shift = np.uint64(64 - sketch_bits)
 
+    def rows(size: int, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
     def run(batches):
-        counts = np.zeros(1 << sketch_bits, np.uint8)
+        counts = np.zeros(1 << sketch_bits, np.uint16)
         for batch in released(batches):
-            sets = shingle_sets(list(utf8(batch.column(1))), WORDS)
+            sets = shingle_sets(list(utf8(batch.column(2))), WORDS)
             nodes = [node_of(s) if len(s) else None for s in sets]
-            n = batch.num_rows
-            row = [batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays(row, schema=schema)
+            yield rows(batch.num_rows, doc_id=batch.column(0), body=batch.column(1), node=nodes, n=[len(s) for s in sets])
             if any(map(len, sets)):
                 at, times = np.unique((mix(np.concatenate(sets)) >> shift).astype(np.int64), return_counts=True)
-                counts[at] = np.minimum(255, counts[at] + times)
-        rows = [(k, _pack(part)) for k, part in enumerate(np.split(counts, max(1, len(counts) >> SLICE_BITS))) if part.any()]
-        n = len(rows)
-        row = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())]
-        yield pa.RecordBatch.from_arrays(row, schema=schema)
+                counts[at] = np.minimum(65_535, counts[at] + times)
+        parts = [(k, _pack(part)) for k, part in enumerate(np.split(counts, max(1, len(counts) >> SLICE_BITS))) if part.any()]
+        yield rows(len(parts), slice=[k for k, _ in parts], counts=[x for _, x in parts])
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, n int, slice int, counts binary")
+    return docs.select("doc_id", "body", "text").mapInArrow(run, kinds)
 
 
 def _sketch(rows: DataFrame, bits: int) -> np.ndarray:
-    """The counts of all tasks, 255 for more; its size depends on `bits` alone."""
+    """Of the counts of all tasks, 0 up to LIST and else the power of two; its size depends on `bits` alone."""
 
     def add(table: pa.Table) -> pa.Table:
         total = 0
         for x in table.column("counts").to_pylist():
-            total = np.minimum(255, total + _unpack(x, np.uint8).astype(np.int32))
-        return pa.table([[table.column("slice")[0].as_py()], [_pack(total.astype(np.uint8))]], schema=arrow_schema("slice int, counts binary"))
+            total = total + _unpack(x, np.uint16).astype(np.int64)
+        power = np.where(total > LIST, np.log2(np.maximum(1, total)), 0).astype(np.uint8)
+        return pa.table([[table.column("slice")[0].as_py()], [_pack(power)]], schema=arrow_schema("slice int, counts binary"))
 
     parts = rows.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary")
     out = np.zeros(1 << bits, np.uint8)
@@ -108,7 +115,7 @@ def _sketch(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _columns(docs: DataFrame, sketch, bits: int, limit: int, buckets: int) -> DataFrame:
+def _columns(docs: DataFrame, sketch, bits: int, buckets: int) -> DataFrame:
     """The prefix columns of every set, packed, dealt into blocks by the shingle's hash."""
     shift = np.uint64(64 - bits)
     schema = arrow_schema("bucket int, data binary")
@@ -121,16 +128,16 @@ def _columns(docs: DataFrame, sketch, bits: int, limit: int, buckets: int) -> Da
             seen.add(node)
             p = prefix_length(len(s))
             order = mix(s)
-            rank = np.where(sketch.value[(order >> shift).astype(np.int64)] > limit, np.uint64(1 << 63), np.uint64(0)) | (mix(order) >> np.uint64(1))
+            power = sketch.value[(order >> shift).astype(np.int64)].astype(np.uint64)
+            rank = power << np.uint64(58) | mix(order) >> np.uint64(6)
             first = np.argpartition(rank, p - 1)[:p] if p < len(s) else np.arange(len(s))
             rows = np.zeros(p, _POSTING)
             rows["shingle"], rows["node"], rows["n"] = s[first], node, len(s)
-            rows["frequent"] = (rank[first] >> np.uint64(63)).sum()
             out.append(rows)
         return out
 
     def flush(parts: list[np.ndarray]):
-        rows, ties = tie(np.concatenate(parts), limit)
+        rows, ties = tie(np.concatenate(parts), LIST)
         cut = _split(rows, (mix(rows["shingle"]) % np.uint64(buckets)).astype(np.int64))
         if len(ties):
             # a task's ties need not meet those of others: any bucket below 0 will do
@@ -193,7 +200,6 @@ def block_pairs(rows: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
             x, y = x[fits], y[fits]
             out = np.zeros(len(x), _PAIR)
             out["a"], out["b"], out["na"], out["nb"] = rows["node"][x], rows["node"][y], rows["n"][x], rows["n"][y]
-            out["free"] = np.minimum(rows["frequent"][x], rows["frequent"][y])
             out["count"] = 1
             pairs.append(add_up(out))
     pairs = add_up(np.concatenate(pairs)) if pairs else np.zeros(0, _PAIR)
@@ -217,12 +223,12 @@ def may_link(pairs: np.ndarray) -> np.ndarray:
 
     Of the set whose prefix ends first in the common order, every prefix shingle that the other set has is in the
     other's prefix too; so the overlap is at most the prefix columns shared plus what that set has behind its prefix.
-    Shared columns of frequent shingles were not counted: at most as many as either set has of them.
+    Shared columns of tied shingles weren't counted, but what shares one is in one cluster already.
     """
     na, nb = pairs["na"].astype(np.int64), pairs["nb"].astype(np.int64)
     need = -(-NUM * (na + nb) // (NUM + DEN))
     behind = np.maximum(-(-NUM * na // DEN), -(-NUM * nb // DEN)) - 1
-    return pairs["count"] + pairs["free"] + behind >= need
+    return pairs["count"] + behind >= need
 
 
 def cluster_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -250,19 +256,19 @@ def cluster_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray |
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, parallel: int) -> DataFrame:
-    """(a, b): verified links that join the groups of every cluster. nodes: doc_id and node of a text of each node."""
+    """(a, b): verified links that join the groups of every cluster. nodes: doc_id, body and node of a text of each node."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     placed = (
         clusters.join(sizes, "component")
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .join(nodes, "node")
-        .select("doc_id", "node", "component", "blocks")
+        .select("doc_id", "body", "node", "component", "blocks")
     )
     # the list of wanted documents grows with the corpus, so it is never broadcast
-    texts = docs.join(placed.hint("merge"), "doc_id").select("node", "component", "blocks", "text")
+    texts = docs.join(placed.hint("merge"), ["doc_id", "body"]).select("node", "component", "blocks", "text")
 
     def to_sets(batch: pa.RecordBatch) -> dict:
-        # a doc_id that stands for several texts brings them all; the set's name tells which one is meant
+        # repeated rows bring their text again; the set's name tells whether it is the one that is meant
         sets = shingle_sets(list(utf8(batch.column(3))), WORDS)
         good = pa.array([len(s) > 0 and node_of(s) == x for s, x in zip(sets, batch.column(0).to_pylist(), strict=True)])
         data = pa.array([s.tobytes() for s in sets], pa.binary())
@@ -298,31 +304,33 @@ def _verify(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, parallel: in
     return dealt.groupBy("task").applyInArrow(links, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id (known if null too), body (a hash of the text) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("body"), text.alias("text"))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, body, node, n of every row of _narrow's docs; root of every node)."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shingles = max(1, size // 6)
     bits = min(26, max(SLICE_BITS, math.ceil(math.log2(shingles / 16 + 1))))
-    limit = min(254, max(LIST, 4 * shingles >> bits))
     buckets = math.ceil(shingles / 5 / COLUMNS) + 7
     rows = write_out(_sets(docs, bits), "sets")
     sketch = spark.sparkContext.broadcast(_sketch(rows, bits))
-    texts = rows.where("slice is null").select("doc_id", "node", "n")
+    texts = rows.where("slice is null").select("doc_id", "body", "node", "n")
 
     def block(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
             data = table.column("data").to_pylist()
             return pa.table([[TIES] * len(data), data], schema=arrow_schema("bucket int, data binary"))
-        pairs, ties = block_pairs(np.concatenate([_unpack(x, _POSTING) for x in table.column("data").to_pylist()]), limit)
+        pairs, ties = block_pairs(np.concatenate([_unpack(x, _POSTING) for x in table.column("data").to_pylist()]), LIST)
         out = _split(pairs, (mix(pairs["a"].view(np.uint64) ^ mix(pairs["b"].view(np.uint64))) % np.uint64(buckets)).astype(np.int64))
         return pa.table([[k for k, _ in out] + [TIES], [_pack(x) for _, x in out] + [_pack(ties)]], schema=arrow_schema("bucket int, data binary"))
 
-    columns = _columns(docs, sketch, bits, limit, buckets)
+    columns = _columns(docs, sketch, bits, buckets)
     blocks = write_out(columns.groupBy("bucket").applyInArrow(block, "bucket int, data binary"), "pairs")
 
     def decide(table: pa.Table) -> pa.Table:
@@ -339,11 +347,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .union(map_arrow(blocks.where("bucket < 0").select("data"), untie, "a bigint, b bigint"))
     )
     clusters = write_out(components(candidates), "clusters")
+    a_text = F.min(F.struct("doc_id", "body")).alias("one")
+    of_node = texts.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(a_text).select("node", "one.doc_id", "one.body")
+    links = _verify(docs, of_node, clusters, 4 * buckets)
+    return texts, components(links).withColumnRenamed("component", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    texts, groups = _grouped(_narrow(docs))
     known = F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id"))
-    of_node = texts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(known).alias("known_id"))
-    links = _verify(docs, of_node.select("node", "doc_id"), clusters, 4 * buckets)
-    groups = components(links).withColumnRenamed("component", "root")
-    named = of_node.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "known_id")
+    least = texts.where("node is not null").groupBy("node").agg(F.min(known).alias("known_id"))
+    named = least.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "known_id")
     least = named.groupBy("root").agg(F.min("known_id").alias("component_id"))
     roots = write_out(named.join(least, "root").select("node", "component_id"), "groups")
     named = texts.withColumn("doc_id", known).join(roots, "node", "left")
@@ -352,10 +367,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id, with all its columns.
+    """One row of each group of near duplicates, with all its columns: the one with the smallest doc_id, a null one last.
 
-    Documents without shingles and with a null doc_id all stay; rows that share a doc_id stay or go together.
+    Rows without shingles all stay. Of repeated rows with the kept doc_id and text one stays, any of them if other
+    columns differ; another text under the same doc_id is judged by its own group.
     """
-    found = write_out(near_duplicates(docs), "near")
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays.hint("merge"), F.col("doc_id").cast("bigint") == F.col("_stays"), "left_semi").unionByName(docs.where("doc_id is null"))
+    texts, groups = _grouped(_narrow(docs))
+    nodes = texts.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id") == _NULL_ID, "doc_id", "body")).alias("one"))
+    rooted = nodes.join(groups, "node", "left").select(F.coalesce("root", "node").alias("root"), "one")
+    one = rooted.groupBy("root").agg(F.min("one").alias("one")).select("one.doc_id", "one.body")
+    times = texts.groupBy("doc_id", "body").agg(F.count("*").alias("times"), F.max(F.col("node").isNull()).alias("blank"))
+    doc_, body_, times_, own_, text_ = (fresh(docs, x) for x in ("doc", "body", "times", "own", "text"))
+    stays = times.join(one.withColumn("kept", F.lit(True)), ["doc_id", "body"], "left").where("kept or blank")
+    again = F.when(F.col("blank"), 1).otherwise(F.col("times"))
+    stays = write_out(stays.select(F.col("doc_id").alias(doc_), F.col("body").alias(body_), again.alias(times_)), "stays")
+    keyed = docs.withColumns({own_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)), text_: F.xxhash64(F.col("text").cast("string"))})
+    kept = keyed.join(stays.hint("merge"), (F.col(own_) == F.col(doc_)) & (F.col(text_) == F.col(body_)))
+    once, more = kept.where(F.col(times_) == 1), kept.where(F.col(times_) > 1).dropDuplicates([own_, text_])
+    return once.union(more).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import (
     decontaminate,
@@ -63,8 +62,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return mixing.mixing_report(docs, docs.select("doc_id", F.col("lang").alias("domain")))
+    return mixing.mixing_report(read(spark, sf_dir, "documents"), mixing.quality_domains(read(spark, sf_dir, "labels")))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
