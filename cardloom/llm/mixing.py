@@ -52,7 +52,9 @@ class DomainModel:
         """rows: (domain, counted, slots of the text's words)."""
         self.domains = domains
         k = len(domains)
-        self.prior = (counts + 1) / (counts + 1).sum()
+        # without a label of another domain there is no other domain
+        seen = (counts + 1) * ((np.array(domains) != OTHER) | (counts > 0))
+        self.log_prior = np.log(np.maximum(seen, 1e-300) / seen.sum())
         tally = np.full((k, 1 << SLOT_BITS), SMOOTH)
         for domain, counted, slots in rows:
             if counted:
@@ -69,7 +71,7 @@ class DomainModel:
             self.temperature = _TEMPERATURES[int(np.argmin(losses))]
 
     def _posterior(self, sums: np.ndarray, sizes: np.ndarray, temperature: float) -> np.ndarray:
-        value = np.log(self.prior) + temperature * sums / np.sqrt(np.maximum(1, sizes))[:, None]
+        value = self.log_prior + temperature * sums / np.sqrt(np.maximum(1, sizes))[:, None]
         value = np.exp(value - value.max(axis=1, keepdims=True))
         return value / value.sum(axis=1, keepdims=True)
 
