@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import hashed_uniform
 from ..sources import fees
+from ..sources.scratch import ranked
 
 #: Yearly profile of spending and the mix of groups, in the order of fees.GROUPS.
 GROUP_MIX = (0.24, 0.07, 0.06, 0.14, 0.07, 0.14, 0.04, 0.03, 0.09, 0.06, 0.02, 0.04)
@@ -80,6 +81,12 @@ def day_weights(spark: SparkSession, start: str, end: str) -> DataFrame:
     return days.withColumn("weight", by(MONTHS, F.month("day")) * growth * payday * by(WEEKEND_SHOPPING, F.weekday("day") + 1))
 
 
+def in_order(purchases: DataFrame, key: Column, seed: str, date: str = "txn_date") -> DataFrame:
+    """purchases with their position by date; those of one day in the order of a hash of their key."""
+    u = hashed_uniform(key, seed, "order")
+    return ranked(purchases.withColumns({"_u": u, "_k": key}), date, "_u", "_k", name="position").drop("_u", "_k")
+
+
 def fraud_probability(purchases: DataFrame, groups: DataFrame) -> DataFrame:
     """Channel base times the group's risk, abroad and token factors, at most 1."""
     base = F.when(F.col("channel") == "cnp", fees.FRAUD["cnp"]).otherwise(fees.FRAUD["cp"])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import ranked
+
 
 def last_months(edges: DataFrame, n: int) -> DataFrame:
     """Edges of the last n months that have data."""
@@ -101,7 +103,7 @@ def top_share(values: DataFrame, column: str, fraction: float) -> DataFrame:
 
 def dense_index(df: DataFrame, key: str, name: str = "position") -> DataFrame:
     """Distinct keys with their positions from 0 in ascending order."""
-    return df.select(key).distinct().withColumn(name, F.row_number().over(W.orderBy(key)) - 1)
+    return ranked(df.select(key).distinct(), key, name=name).withColumn(name, (F.col(name) - 1).cast("int"))
 
 
 def shuffled_modularity(pairs: DataFrame, labels: DataFrame, times: int, seed: str = "null") -> DataFrame:

@@ -100,6 +100,13 @@ def ranking_metrics(scores: DataFrame, split: dict[str, DataFrame], k: int = 10)
     return out.crossJoin(seen.select((F.col("_seen") / F.col("_all")).alias("coverage")))  # one row each
 
 
+def better_source(preferred: DataFrame, other: DataFrame, names: tuple[str, str] = ("sage", "svd")) -> DataFrame:
+    """source, recall_at_k: of two rows of ranking_metrics, the preferred one unless the other recalls more."""
+    both = preferred.select(F.col("recall_at_k").alias("a")).crossJoin(other.select(F.col("recall_at_k").alias("b")))  # one row each
+    keeps = F.col("a") >= F.col("b")
+    return both.select(F.when(keeps, names[0]).otherwise(names[1]).alias("source"), F.greatest("a", "b").alias("recall_at_k"))
+
+
 def recall_by_card(scores: DataFrame, split: dict[str, DataFrame], k: int = 10) -> DataFrame:
     hits = top_k(scores, split, k).join(split["positives"], ["cardholder_id", "merchant_id"], "left_semi").groupBy("cardholder_id").agg(F.count("*").alias("hits"))
     wanted = split["positives"].groupBy("cardholder_id").agg(F.count("*").alias("wanted"))

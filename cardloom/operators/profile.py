@@ -59,9 +59,10 @@ def segment_profile(profile: DataFrame, segment: str) -> DataFrame:
     return out.join(top_labels(profile, segment, "mcc_group", "gdv_cop"), segment).join(top_labels(profile, segment, "size_tier", "gdv_cop"), segment)
 
 
-def eta_squared(df: DataFrame, value: str, segment: str) -> DataFrame:
-    """1 - within / total sum of squares; null where all values are equal. From moments of each segment, one pass."""
-    part = df.groupBy(segment).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+def eta_squared(df: DataFrame, value: str, segment: str, weight: str | None = None) -> DataFrame:
+    """1 - within / total sum of squares, weighted if asked; null where all values are equal. From moments of each segment, one pass."""
+    w = F.col(weight) if weight else F.lit(1)
+    part = df.groupBy(segment).agg(F.sum(w).alias("n"), F.sum(w * F.col(value)).alias("s"), F.sum(w * F.col(value) * F.col(value)).alias("q"))
     sums = part.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     total = F.col("q") - F.col("s") * F.col("s") / F.col("n")
     return sums.select(F.when(total > 1e-12, 1 - (F.col("q") - F.col("b")) / total).alias("eta_squared"))

@@ -40,23 +40,34 @@ class Prices:
         return cls(fees.grid(spark), fees.groups(spark), fees.issuer_costs(spark), fees.network_fees(spark), fees.pricing_terms(acquirers))
 
 
+def one_each(table: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """The table with a row for each key; a key that stands more than once raises when it is read, instead of doubling purchases."""
+    rest = F.first(F.struct(*(F.col(c) for c in table.columns if c not in keys)))
+    n = F.count("*")
+    found = table.groupBy(*keys).agg(F.when(n == 1, rest).otherwise(F.raise_error(F.lit(f"more than one {what} for a key"))).alias("_row"))
+    return found.select(*keys, "_row.*")
+
+
 def price(purchases: DataFrame, prices: Prices, merchants: DataFrame | None = None) -> DataFrame:
     """purchases with pricing_model and all MONEY columns; money columns already there are computed anew.
 
     Every price table is far below any broadcast limit by construction (192 cells, 12 groups, 4 products, one row of
-    fees, one row an acquirer), merchants are joined as their size asks for. A missing price raises when it is read.
+    fees, one row an acquirer), merchants are joined as their size asks for. A price that is missing, or stands more than
+    once, raises when it is read; every purchase stays one row.
     """
     require(purchases, REQUIRED, "purchases")
     out = purchases.drop(*MONEY)
     if "pricing_model" not in out.columns:
         if merchants is None:
             raise ValueError("purchases have no pricing_model: pass the merchants")
-        out = out.join(merchants.select("merchant_id", "pricing_model"), "merchant_id", "left")
+        out = out.join(one_each(merchants.select("merchant_id", "pricing_model"), ["merchant_id"], "pricing model"), "merchant_id", "left")
     out = out.withColumn("region", money.region())
-    out = out.join(F.broadcast(prices.grid), ["product", "mcc_group", "channel", "region"], "left")
-    out = out.join(F.broadcast(prices.groups.select("mcc_group", "blended_mdr_rate")), "mcc_group", "left")
-    out = out.join(F.broadcast(prices.costs), "product", "left")
-    out = out.join(F.broadcast(prices.terms), "acquirer_id", "left").crossJoin(F.broadcast(prices.network))
+    for table, keys, what in (
+        (prices.grid.drop("valid_from", "valid_to"), list(fees.CELL), "interchange price"), (prices.groups.select("mcc_group", "blended_mdr_rate"), ["mcc_group"], "group"),
+        (prices.costs, ["product"], "issuer cost"), (prices.terms, ["acquirer_id"], "pricing term"),
+    ):
+        out = out.join(F.broadcast(one_each(table, keys, what)), keys, "left")
+    out = out.withColumn("_all", F.lit(1)).join(F.broadcast(one_each(prices.network.withColumn("_all", F.lit(1)), ["_all"], "row of network fees")), "_all", "left")
     gap = lambda c, what: F.coalesce(c, F.raise_error(F.lit(f"a purchase has no {what}")).cast("double"))
     side = {s: {p: money.side_fee(s, p) for p in ("assessment", "authorization", "cross_border")} for s in ("issuer", "acquirer")}
     out = out.withColumns({

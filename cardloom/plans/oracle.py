@@ -38,7 +38,8 @@ grid as (
          fixed_cop,
          case when {small} then {fees.SMALL_MAX}::double end as small_ticket_max_cop,
          case when {small} then {fees.SMALL_RATE}::double end as small_ticket_rate,
-         case when {small} then {fees.SMALL_FIXED}::double end as small_ticket_fixed_cop
+         case when {small} then {fees.SMALL_FIXED}::double end as small_ticket_fixed_cop,
+         date '{fees.VALID_FROM}' as valid_from, cast(null as date) as valid_to
   from base, (values ('cp'), ('cnp')) c(channel), (values ('domestic'), ('cross_border')) r(region)),
 tx as (
   select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(o_orderdate as date) as txn_date, o_custkey as cardholder_id,

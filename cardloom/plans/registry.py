@@ -7,6 +7,7 @@ that grid whatever the order of addition.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..operators import acceptance, affinity, expectations, generate, graph, links, marts, pnl, profile, segment, shapley, waterfall
-from ..sources import bridge, fees
+from ..sources import bridge, contract, fees
+from ..sources.scratch import kept
 from .oracle import over_fact, over_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +64,8 @@ _simple("p02_acquirers", bridge.acquirers, over_tables("select * from acquirers"
 _simple("e24_mccs", bridge.mccs, over_tables("select * from mccs"))
 _simple("e24_pricing_terms", lambda s, d: fees.pricing_terms(bridge.acquirers(s, d)), over_tables(f"select acquirer_id, {fees.MARKUP_RATE}::double as icpp_markup_rate, {fees.MARKUP_FIXED}::double as icpp_markup_fixed_cop, {fees.BLENDED_CROSS_BORDER}::double as blended_cross_border_rate from acquirers"))
 _simple("e24_network_fees", lambda s, d: fees.network_fees(s), "select " + ", ".join(f"{v}::double as {side}_{n}" for side, vs in fees.NETWORK.items() for n, v in zip(("assessment_rate", "authorization_fee_cop", "cross_border_rate"), vs, strict=True)))
-_simple("e01_interchange_grid", lambda s, d: fees.grid(s), over_tables("select * from grid"))
+_simple("e01_interchange_grid", lambda s, d: fees.grid(s).withColumn("open_ended", F.col("valid_to").isNull()).drop("valid_to"), over_tables("select * exclude (valid_to), valid_to is null as open_ended from grid"))
+_simple("e02_one_cell", lambda s, d: s.createDataFrame([fees.cell(fees.grid(s).drop("valid_from", "valid_to"), "debit", "grocery", "cp", "domestic")]), over_tables("select * exclude (valid_from, valid_to) from grid where product = 'debit' and mcc_group = 'grocery' and channel = 'cp' and region = 'domestic'"))
 
 
 @query("s04_projected_scan", over_fact("select merchant_id, cardholder_id, amount_cop, round(interchange_cop, 4) as interchange_cop, round(mdr_cop, 4) as mdr_cop, channel, cross_border, product from fct"))
@@ -100,6 +103,16 @@ def _(spark, d):
     return bridge.cardholders(spark, d).where(money.hashed_uniform(F.col("cardholder_id").cast("string"), "sample") < 0.2).select("cardholder_id")
 
 
+@query("v06_row_contract", over_tables("select count(*) filter (product = 'debit') as product, count(*) filter (channel = 'cnp') as channel, count(*) filter (mcc_group = 'fuel') as mcc_group, 0::bigint as amount_cop from tx"))
+def _(spark, d):
+    # values that the contract doesn't know, and nulls, stand in for some of the driver's
+    t = bridge.transactions(spark, d).withColumns({
+        "product": F.when(F.col("product") == "debit", "prepaid").otherwise(F.col("product")), "channel": F.when(F.col("channel") == "cp", "cp"),
+        "mcc_group": F.when(F.col("mcc_group") == "fuel", "petrol").otherwise(F.col("mcc_group")),
+    })
+    return contract.broken_rows(t, "transactions").select("product", "channel", "mcc_group", "amount_cop")
+
+
 # The waterfall
 
 
@@ -135,15 +148,18 @@ def _(spark, d):
     return rounded(fact(spark, d).groupBy("fraud_flag", "chargeback_flag").agg(F.sum("fraud_loss_cop").alias("fraud_loss_cop"), F.sum("chargeback_cop").alias("chargeback_cop")))
 
 
-@query("p10_price_gaps", "select 0::bigint as cell_missing, 0::bigint as group_missing, 0::bigint as term_missing")
+@query("p10_price_gaps", over_tables("select count(*) filter (product = 'commercial' and channel = 'cnp') as cell_missing, count(*) filter (mcc_group = 'fuel') as group_missing, count(*) filter (acquirer_id in ('3', '7')) as term_missing from tx"))
 def _(spark, d):
-    return waterfall.gaps(bridge.transactions(spark, d), waterfall.Prices.configured(spark, bridge.acquirers(spark, d)))
+    full = waterfall.Prices.configured(spark, bridge.acquirers(spark, d))
+    holes = replace(full, grid=full.grid.where("product <> 'commercial' or channel <> 'cnp'"), groups=full.groups.where("mcc_group <> 'fuel'"), terms=full.terms.where("acquirer_id not in ('3', '7')"))
+    return waterfall.gaps(bridge.transactions(spark, d), holes)
 
 
-@query("a30_null_guard", over_fact("select 0::bigint as nulls"))
+@query("a30_null_guard", over_fact("select (count(*) filter (product = 'debit') + count(*) filter (cross_border))::bigint as nulls from fct"))
 def _(spark, d):
+    holes = {"mdr_cop": F.when(F.col("product") != "debit", F.col("mdr_cop")), "interchange_cop": F.when(~F.col("cross_border"), F.col("interchange_cop"))}
     nulls = sum((F.col(c).isNull().cast("bigint") for c in waterfall.MONEY), F.lit(0))
-    return fact(spark, d).agg(F.sum(nulls).alias("nulls"))
+    return fact(spark, d).withColumns(holes).agg(F.sum(nulls).alias("nulls"))
 
 
 @query("a31_row_sums", over_fact("select product, round(sum(issuer_gross_cop + network_revenue_cop + acquirer_gross_cop), 4) as received_cop from fct group by product"))
@@ -374,6 +390,16 @@ def _(spark, d):
     return n.withColumn("position", F.row_number().over(W.orderBy(F.desc("n"), "mcc_group", "product")))
 
 
+KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+KEY_TEXT = " || '|' || ".join(KEY)
+
+
+@query("k07_by_date", over_tables(f"select {', '.join(KEY)}, row_number() over (order by txn_date, cast('0x' || substr(md5({KEY_TEXT} || '|k07|order'), 1, 8) as bigint) / 4294967296.0, {KEY_TEXT}) as position from tx"))
+def _(spark, d):
+    rows = bridge.transactions(spark, d).select(*KEY, "txn_date")
+    return generate.in_order(rows, F.concat_ws("|", *KEY), "k07").select(*KEY, "position")
+
+
 @query("k06_configured_order", over_tables("select product, product_pos::int as product_pos, count(*) as n from tx join issuer_costs using (product) group by all"))
 def _(spark, d):
     n = bridge.transactions(spark, d).groupBy("product").agg(F.count("*").alias("n"))
@@ -418,7 +444,7 @@ def _(spark, d):
     return out.withColumns({"r0": F.round("r0", 4), "r1": F.round("r1", 4)})
 
 
-def _shapley_sql() -> str:
+def _shapley_sql(select: str | None = None) -> str:
     names = ("volume", "cross_border_share", "mix", "rate")
     value = lambda on: f"(T{on[0]} * S{on[1]}{on[2]}{on[3]})"
     weights = {0: 6 / 24, 1: 2 / 24, 2: 2 / 24, 3: 6 / 24}
@@ -434,7 +460,7 @@ def _shapley_sql() -> str:
     rows.append(f"(5, 'new', {value((1, 1, 1, 1))})")
     sums = ", ".join(f"sum(x{a} * w{b} * y{c}) as S{a}{b}{c}" for a in (0, 1) for b in (0, 1) for c in (0, 1))
     picks = " union all ".join(f"select {r[1:-1]} from sums" for r in rows)
-    select = f"select pos::int as pos, step, round(v, 2) as value_cop, case when pos between 1 and 4 then round(v / (select T1 * S111 - T0 * S000 from sums), 8) end as share_of_change from ({picks}) q(pos, step, v)"
+    select = select.replace("{picks}", " union all ".join(f"select {r[1:-1]} from sums" for r in rows)) if select else f"select pos::int as pos, step, round(v, 2) as value_cop, case when pos between 1 and 4 then round(v / (select T1 * S111 - T0 * S000 from sums), 8) end as share_of_change from ({picks}) q(pos, step, v)"
     return over_fact(select, CELLS, FACTORS, f"sums as (select any_value(t0) as T0, any_value(t1) as T1, {sums} from parts)")
 
 
@@ -443,10 +469,10 @@ def _(spark, d):
     return shapley.bridge(*_periods(spark, d)).withColumns({"value_cop": F.round("value_cop", 2), "share_of_change": F.round("share_of_change", 8)})
 
 
-@query("w10_running_bridge")
+@query("w10_running_bridge", _shapley_sql("select pos::int as pos, step, round(sum(v) over (order by pos), 2) as running_cop from ({picks}) q(pos, step, v) where step <> 'new'"))
 def _(spark, d):
     steps = shapley.bridge(*_periods(spark, d)).where("step <> 'new'")
-    return steps.select("pos", "step", F.sum("value_cop").over(W.orderBy("pos")).alias("running_cop"))
+    return steps.select("pos", "step", F.round(F.sum("value_cop").over(W.orderBy("pos")), 2).alias("running_cop"))  # six rows
 
 
 # The graph; repeat visits are to suppliers, so those stand for merchants here
@@ -537,6 +563,10 @@ def _profile(spark, d):
     return profile.merchant_profile(fact(spark, d), bridge.merchants(spark, d))
 
 
+def _kept_profile(spark, d):
+    return kept(_profile(spark, d), "profile")
+
+
 @query("a13_merchant_profile", over_fact("select merchant_id, n_txns, n_customers, mcc_group, merchant_channel, size_tier, pricing_model, " + ", ".join(f"round({c}, {n}) as {c}" for c, n in _PROFILE_COLUMNS.items()) + " from profile", PROFILE))
 def _(spark, d):
     return rounded(_profile(spark, d))
@@ -579,18 +609,34 @@ def _(spark, d):
     return segment.split_test(_profile(spark, d)).select("merchant_id", "test")
 
 
-@query("m10_segment_prediction", over_fact("""select n as merchants, round(1 - rss / tss, 8) as r2, round(ae / ae0, 8) as mae_ratio, round(top / mean, 8) as top_decile_lift from
+PREDICTED = """select n as merchants, round(1 - rss / tss, 8) as r2, round(ae / ae0, 8) as mae_ratio, round(top / mean, 8) as top_decile_lift from
  (select count(*) as n, avg(y) as mean, sum((y - p) * (y - p)) as rss, var_pop(y) * count(*) as tss, sum(abs(y - p)) as ae, sum(abs(y - b)) as ae0, avg(y) filter (r <= greatest(1, round(0.1 * c))) as top from
-  (select relative_burden as y, p, b, row_number() over (order by round(p, 12) desc, merchant_id) as r, count(*) over () as c from (select t.*, coalesce(m.p, a.b) as p, a.b from tested t left join (select segment, avg(relative_burden) as p from tested where not test group by segment) m using (segment), (select avg(relative_burden) as b from tested where not test) a where test) z) q) w""", PROFILE, TESTED))
+  (select relative_burden as y, p, b, row_number() over (order by round(p, 12) desc, merchant_id) as r, count(*) over () as c from (select t.*, coalesce(m.p, a.b) as p, a.b from tested t left join (select segment, avg(relative_burden) as p from tested where not test group by segment) m using (segment), (select avg(relative_burden) as b from tested where not test) a where test) z) q) w"""
+
+
+@query("m10_segment_prediction", over_fact(PREDICTED, PROFILE, TESTED))
 def _(spark, d):
     p = segment.split_test(_profile(spark, d))
     found = segment.predict_by_segment(p, segment.group_segments(p)).withColumn("predicted", F.round("predicted", 12))
     return segment.score_predictions(found).select("merchants", *(F.round(c, 8).alias(c) for c in ("r2", "mae_ratio", "top_decile_lift")))
 
 
-@query("m03_feature_space")
+def _features_sql() -> str:
+    raw = [f"log10(greatest({c}, 1.0))" for c in segment.NUMBERS] + ["cnp_share", "cross_border_share", *(f"share_{p}" for p in fees.PRODUCTS)]
+    k = range(len(raw))
+    feats = "feats as (select merchant_id, mcc_group, " + ", ".join(f"{x}::double as f{i}" for i, x in enumerate(raw)) + " from profile)"
+    moments = "moments as (select " + ", ".join(f"avg(f{i}) as m{i}, stddev_pop(f{i}) as s{i}" for i in k) + " from feats)"
+    z = "z as (select merchant_id, mcc_group, " + ", ".join(f"case when s{i} > 1e-12 then (f{i} - m{i}) / s{i} else 0 end as z{i}" for i in k) + " from feats, moments)"
+    norm = "norm as (select avg(sqrt(" + " + ".join(f"z{i} * z{i}" for i in k) + ")) as n from z)"
+    values = ", ".join([*(f"z{i} / n" for i in k), *(f"(mcc_group = '{g}')::int::double" for g in fees.GROUPS)])
+    select = f"select merchant_id, dim, round(value, 8) as value from (select merchant_id, unnest(range({len(raw) + len(fees.GROUPS)}))::int as dim, unnest([{values}]) as value from z, norm) q"
+    return over_fact(select, PROFILE, feats, moments, z, norm)
+
+
+@query("m03_feature_space", _features_sql())
 def _(spark, d):
-    return segment.feature_space(_profile(spark, d))
+    space = segment.feature_space(_profile(spark, d))
+    return space.select("merchant_id", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 8))
 
 
 @query("m05_k_means")
@@ -686,9 +732,9 @@ def _(spark, d):
 
 SPLIT = f"""cut as (select max(txn_month) - interval 2 month as m from edges),
 train as (select cardholder_id, merchant_id, sum(n_txns)::bigint as n_txns from edges, cut where txn_month < m group by all),
-candidates as (select merchant_id, sum(n_txns)::bigint as purchases from train group by merchant_id order by purchases desc, merchant_id limit 60),
+candidates as (select merchant_id, sum(n_txns)::bigint as purchases from train group by merchant_id order by purchases desc, merchant_id limit 3000),
 known as (select distinct cardholder_id, merchant_id from edges, cut where txn_month >= m and (cardholder_id, merchant_id) not in (select (cardholder_id, merchant_id) from train) and merchant_id in (select merchant_id from candidates) and cardholder_id in (select cardholder_id from train)),
-cards as (select cardholder_id from (select distinct cardholder_id from known) order by {HASHED("cardholder_id", "split")}, cardholder_id limit 200),
+cards as (select cardholder_id from (select distinct cardholder_id from known) order by {HASHED("cardholder_id", "split")}, cardholder_id limit 2000),
 positives as (select * from known where cardholder_id in (select cardholder_id from cards))"""
 SUPPLIER_GROUPS = "supplier_groups as (select s_suppkey as merchant_id, mcc_group from supplier join groups on pos = s_suppkey % 12)"
 METRICS = """select round(avg(coalesce(h, 0) / w), 10) as recall_at_k, round(avg((coalesce(h, 0) > 0)::int), 10) as hit_rate_at_k, round(avg(coalesce(1.0::double / f, 0)), 10) as mrr, count(*) as cardholders, sum(w)::bigint as positives, round((select count(distinct merchant_id) from top) / (select count(*) from candidates)::double, 10) as coverage
@@ -700,7 +746,7 @@ def _top(score: str) -> str:
 
 
 def _split(spark, d):
-    return links.temporal_split(_edges(spark, d), most_candidates=60, most_cards=200)
+    return links.temporal_split(_edges(spark, d))
 
 
 def _supplier_groups(spark, d):
@@ -744,6 +790,17 @@ def _(spark, d):
     return rounded(links.ranking_metrics(links.random_scores(s), s))
 
 
+def _recall(top: str) -> str:
+    return f"(select avg(coalesce(h, 0) / w) from (select cardholder_id, count(*)::double as w from positives group by all) p left join (select cardholder_id, count(q.x)::double as h from {top} left join (select *, 1 as x from positives) q using (cardholder_id, merchant_id) group by cardholder_id) t using (cardholder_id))"
+
+
+@query("l26_better_source", over_tables(f"select case when a >= b then 'group' else 'random' end as source, round(greatest(a, b), 10) as recall_at_k from (select {_recall('by_group')} as a, {_recall('by_chance')} as b) r", EDGES, SPLIT, SUPPLIER_GROUPS, "by_group" + _top(f"select cardholder_id, merchant_id, round(score, 12) as score from ({GROUPED}) g").removeprefix("top"), "by_chance" + _top(RANDOM).removeprefix("top")))
+def _(spark, d):
+    s = _split(spark, d)
+    by_group = links.ranking_metrics(links.group_popularity(s, _supplier_groups(spark, d)).withColumn("score", F.round("score", 12)), s)
+    return rounded(links.better_source(by_group, links.ranking_metrics(links.random_scores(s), s), ("group", "random")))
+
+
 @query("l12_graph_convolutions")
 def _(spark, d):
     import numpy as np
@@ -885,10 +942,44 @@ def _tier_segments(p):
     return p.select("merchant_id", F.array_position(F.array(*(F.lit(t) for t, _ in fees.TIERS)), F.col("size_tier")).cast("int").alias("segment"))
 
 
-@query("m11_compare")
+def _method_sql(name: str, labels: str) -> tuple[str, str]:
+    """(the CTE of a method's rows, the row of compare that it comes to)."""
+    rows = f"{name}_rows as (select p.*, ({labels})::int as segment, row_number() over (order by {HASHED('merchant_id', 'test')}, merchant_id) <= greatest(1, round(0.3 * count(*) over ())) as test from profile p join groups using (mcc_group))"
+    eta = lambda v, w: f"(select 1 - sum({w} * pow({v} - m, 2)) / sum({w} * pow({v} - mm, 2)) from (select *, sum({w} * {v}) over (partition by segment) / sum({w}) over (partition by segment) as m, sum({w} * {v}) over () / sum({w}) over () as mm from {name}_rows) e)"
+    agree = f"(select 2 * sum(n / t * ln(n * t / (na * nb))) / (-sum(n / t * ln(na / t)) - sum(n / t * ln(nb / t))) from (select n::double as n, sum(n) over (partition by mcc_group)::double as na, sum(n) over (partition by segment)::double as nb, sum(n) over ()::double as t from (select mcc_group, segment, count(*) as n from {name}_rows group by all) j) x)"
+    shape = f"(select count(*) as segments, max(n) / sum(n)::double as largest_segment_share from (select count(*) as n from {name}_rows group by segment) g) s"
+    scored = PREDICTED.replace("tested", f"{name}_rows")
+    return rows, f"select '{name}' as method, segments, 1.0::double as coverage, round(largest_segment_share, 8) as largest_segment_share, round({eta('effective_interchange_rate', 'gdv_cop')}, 8) as eta2_interchange, round({eta('relative_burden', '1')}, 8) as eta2_burden, round({agree}, 8) as nmi_mcc_group, merchants, r2, mae_ratio, top_decile_lift from {shape}, ({scored}) w"
+
+
+TIER = "case size_tier when 'large' then 1 when 'medium' then 2 when 'small' then 3 else 4 end"
+_METHODS = [_method_sql("mcc_group", "pos"), _method_sql("size_tier", TIER)]
+
+
+@query("m11_compare", over_fact(" union all ".join(row for _, row in _METHODS), PROFILE, *(rows for rows, _ in _METHODS)))
 def _(spark, d):
-    p = _profile(spark, d)
-    return segment.compare(p, {"mcc_group": segment.group_segments(p), "size_tier": _tier_segments(p)})
+    p = _kept_profile(spark, d)
+    out = segment.compare(p, {"mcc_group": segment.group_segments(p), "size_tier": _tier_segments(p)}).drop("silhouette", "nmi_clientele")
+    return out.select(*(F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+@query("m14_marginal_information")
+def _(spark, d):
+    p = _kept_profile(spark, d)
+    attributes = segment.feature_space(p)
+    blocks = F.array(*((F.col("size_tier") == t).cast("double") for t, _ in fees.TIERS))
+    tiers = p.select("merchant_id", blocks.alias("vector"))
+    both = attributes.withColumnRenamed("vector", "a").join(tiers.withColumnRenamed("vector", "b"), "merchant_id").select("merchant_id", F.concat("a", "b").alias("vector"))
+    return segment.marginal_information(p, {"attributes": attributes, "tiers": tiers, "both": both}, "attributes")
+
+
+@query("m16_sweep", over_fact("select method, max(r2) filter (k = 2) as k2, max(r2) filter (k = 4) as k4, max(r2) filter (k = 12) as k12 from (" + " union all ".join(f"select '{m}' as method, {k} as k, r2 from ({PREDICTED.replace('tested', f'{m}_{k}')}) q{n}" for n, (m, k) in enumerate((("groups", 12), ("groups", 4), ("tiers", 4), ("tiers", 2)))) + ") u group by method", PROFILE, *(f"{m}_{k} as (select p.*, ({labels})::int as segment, row_number() over (order by {HASHED('merchant_id', 'test')}, merchant_id) <= greatest(1, round(0.3 * count(*) over ())) as test from profile p join groups using (mcc_group))" for m, k, labels in (("groups", 12, "pos"), ("groups", 4, "pos % 4"), ("tiers", 4, TIER), ("tiers", 2, f"({TIER}) % 2")))))
+def _(spark, d):
+    p = _kept_profile(spark, d)
+    groups, tiers = segment.group_segments(p), _tier_segments(p)
+    merged = lambda labels, k: labels.withColumn("segment", F.col("segment") % k)
+    out = segment.sweep(p, {"groups": {12: groups, 4: merged(groups, 4)}, "tiers": {4: tiers, 2: merged(tiers, 2)}})
+    return out.select("method", *(F.round(c, 8).alias(c) for c in ("k2", "k4", "k12")))
 
 
 @query("m17_segment_mix", over_fact("select case size_tier when 'large' then 1 when 'medium' then 2 when 'small' then 3 else 4 end::int as segment, mcc_group, round(count(*) / sum(count(*)) over (partition by size_tier), 10) as share from profile group by size_tier, mcc_group", PROFILE))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 # The products, channels, regions, groups and prices that results have to be computed with.
 PRODUCTS = ("debit", "credit_standard", "credit_premium", "commercial")
@@ -58,36 +61,53 @@ FRAUD = {"cp": 0.000174, "cnp": 0.00099}
 FRAUD_CROSS_BORDER, FRAUD_TOKENIZED, CHARGEBACK_IF_FRAUD = 6.4, 0.5, 0.8
 
 
-def build_grid(base=BASE_RATES, fixed=FIXED, overrides=()) -> list[tuple]:
-    """Rows of the interchange table: product, mcc_group, channel, region, rate, fixed, small-ticket limit, rate, fixed.
+#: What a channel and a region add: (rate, fixed part); since when the prices hold.
+CHANNEL_ADDS = {"cp": (0.0, 0.0), "cnp": (CNP_ADD, 0.0)}
+REGION_ADDS = {"domestic": (0.0, 0.0), "cross_border": (CROSS_BORDER_ADD, 0.0)}
+VALID_FROM = "2024-01-01"
+CELL = ("product", "mcc_group", "channel", "region")
 
-    overrides: (product, mcc_group, channel, region, rate, fixed). A negative fee raises ValueError.
-    """
-    special = {tuple(o[:4]): o[4:] for o in overrides}
-    out = []
-    for product, rates in base.items():
-        for group, rate in zip(GROUPS, rates, strict=True):
-            for channel in CHANNELS:
-                for region in REGIONS:
-                    key = (product, group, channel, region)
-                    full = rate + (CNP_ADD if channel == "cnp" else 0.0) + (CROSS_BORDER_ADD if region == "cross_border" else 0.0)
-                    full, flat = special.get(key, (round(full, 6), fixed[product]))
-                    if full < 0 or flat < 0:
-                        raise ValueError(f"Negative fee in cell {key}")
-                    small = region == "domestic" and product in SMALL_PRODUCTS and group in SMALL_GROUPS
-                    tier = (SMALL_MAX, SMALL_RATE, SMALL_FIXED) if small else (None, None, None)
-                    out.append((*key, full, flat, *tier))
-    return out
 
+def _each(adds: dict[str, tuple[float, float]], name: str) -> Column:
+    """A row for each key of adds, beside every row that there is."""
+    return F.inline(F.array(*(F.struct(F.lit(k).alias(name), F.lit(r).alias(f"{name}_rate"), F.lit(f).alias(f"{name}_fixed")) for k, (r, f) in adds.items())))
 
-GRID_SCHEMA = (
-    "product string, mcc_group string, channel string, region string, rate double, fixed_cop double, "
-    "small_ticket_max_cop double, small_ticket_rate double, small_ticket_fixed_cop double"
-)
 
+def grid(
+    spark: SparkSession, base=BASE_RATES, fixed=FIXED, overrides=(), channels=CHANNEL_ADDS, regions=REGION_ADDS, valid_from: str = VALID_FROM, valid_to: str | None = None
+) -> DataFrame:
+    """The interchange table: a row for each product, group, channel and region.
 
-def grid(spark: SparkSession, **options) -> DataFrame:
-    return spark.createDataFrame(build_grid(**options), GRID_SCHEMA)
+    overrides: (product, mcc_group, channel, region, rate, fixed) in place of what base and adds come to. A fee below 0
+    raises when its cell is read.
+    """
+    priced = [(p, g, float(r), float(fixed[p])) for p, rates in base.items() for g, r in zip(GROUPS, rates, strict=True)]
+    cells = spark.createDataFrame(priced, "product string, mcc_group string, base_rate double, base_fixed double")
+    cells = cells.select("*", _each(channels, "channel")).select("*", _each(regions, "region"))
+    own = spark.createDataFrame([tuple(o) for o in overrides], "product string, mcc_group string, channel string, region string, own_rate double, own_fixed double")
+    cells = cells.join(F.broadcast(own), list(CELL), "left")
+    sums = {k: F.col(f"base_{k}") + F.col(f"channel_{k}") + F.col(f"region_{k}") for k in ("rate", "fixed")}
+    small = (F.col("region") == "domestic") & F.col("product").isin(*SMALL_PRODUCTS) & F.col("mcc_group").isin(*SMALL_GROUPS)
+    found = cells.select(*CELL, F.coalesce("own_rate", F.round(sums["rate"], 6)).alias("rate"), F.coalesce("own_fixed", sums["fixed"]).alias("fixed_cop"), small.alias("small"))
+    below = F.raise_error(F.concat(F.lit("fees can't be below 0, see "), F.concat_ws("/", *CELL))).cast("double")
+    ok = (F.col("rate") >= 0) & (F.col("fixed_cop") >= 0)
+    tier = {"small_ticket_max_cop": SMALL_MAX, "small_ticket_rate": SMALL_RATE, "small_ticket_fixed_cop": SMALL_FIXED}
+    return found.select(
+        *CELL, F.when(ok, F.col("rate")).otherwise(below).alias("rate"), F.when(ok, F.col("fixed_cop")).otherwise(below).alias("fixed_cop"),
+        *(F.when(F.col("small"), F.lit(v)).alias(k) for k, v in tier.items()), F.lit(valid_from).cast("date").alias("valid_from"), F.lit(valid_to).cast("date").alias("valid_to"),
+    )
+
+
+def cell(table: DataFrame, product: str, mcc_group: str, channel: str, region: str) -> Row:
+    """The one row of an interchange table for these keys; KeyError where there is none, ValueError where there are more."""
+    keys = (product, mcc_group, channel, region)
+    wanted = [F.col(name) == value for name, value in zip(CELL, keys, strict=True)]
+    rows = table.where(reduce(lambda a, b: a & b, wanted)).limit(2).collect()
+    if not rows:
+        raise KeyError(keys)
+    if len(rows) > 1:
+        raise ValueError(f"more than one price for {keys}")
+    return rows[0]
 
 
 def groups(spark: SparkSession) -> DataFrame:
@@ -109,8 +129,6 @@ def network_fees(spark: SparkSession) -> DataFrame:
 
 
 def pricing_terms(acquirers: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return acquirers.select(
         "acquirer_id", F.lit(MARKUP_RATE).alias("icpp_markup_rate"), F.lit(MARKUP_FIXED).alias("icpp_markup_fixed_cop"),
         F.lit(BLENDED_CROSS_BORDER).alias("blended_cross_border_rate"),

@@ -1,5 +1,8 @@
 """Hand-computed purchases, conservation over segmentations, and the guards."""
 
+from dataclasses import replace
+from datetime import date
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -62,14 +65,39 @@ def test_a_gap_raises(spark, prices):
     assert waterfall.gaps(purchase(spark, group="fuel"), prices).first()["cell_missing"] == 1
 
 
-def test_grid():
-    cells = {r[:4]: r for r in fees.build_grid()}
+def test_grid(spark):
+    cells = {r[:4]: tuple(r) for r in fees.grid(spark).collect()}
     assert len(cells) == 192
-    assert cells["debit", "grocery", "cp", "domestic"][4:] == (0.004, 0.0, 20_000.0, 0.002, 0.0)
+    assert cells["debit", "grocery", "cp", "domestic"][4:] == (0.004, 0.0, 20_000.0, 0.002, 0.0, date(2024, 1, 1), None)
     assert cells["credit_premium", "travel", "cnp", "cross_border"][4:6] == (0.036, 150.0)
-    assert {r[:4]: r for r in fees.build_grid(overrides=[("debit", "fuel", "cp", "domestic", 0.5, 1.0)])}["debit", "fuel", "cp", "domestic"][4:6] == (0.5, 1.0)
-    with pytest.raises(ValueError, match="Negative"):
-        fees.build_grid(overrides=[("debit", "fuel", "cp", "domestic", -0.5, 1.0)])
+    key = ("debit", "fuel", "cp", "domestic")
+    assert fees.cell(fees.grid(spark, overrides=[(*key, 0.5, 1.0)]), *key)[4:6] == (0.5, 1.0)
+    assert fees.cell(fees.grid(spark, channels={"cp": (0.001, 7.0), "cnp": (0.0, 0.0)}), *key)[4:6] == (0.004, 7.0)
+    for low in ((-0.5, 1.0), (0.5, -1.0)):
+        with pytest.raises(Exception, match="below 0"):
+            fees.grid(spark, overrides=[(*key, *low)]).collect()
+
+
+def test_one_cell(spark):
+    table = fees.grid(spark)
+    assert fees.cell(table, "credit_premium", "travel", "cnp", "cross_border")["rate"] == 0.036
+    with pytest.raises(KeyError):
+        fees.cell(table, "debit", "nothing", "cp", "domestic")
+    with pytest.raises(ValueError, match="more than one"):
+        fees.cell(table.union(table), "debit", "fuel", "cp", "domestic")
+
+
+@pytest.mark.parametrize("part", ["grid", "groups", "costs", "network", "terms"])
+def test_a_price_that_stands_twice_raises(spark, prices, part):
+    twice = replace(prices, **{part: getattr(prices, part).union(getattr(prices, part))})
+    with pytest.raises(Exception, match="more than one"):
+        waterfall.price(purchase(spark), twice).collect()
+
+
+def test_a_merchant_that_stands_twice_raises(spark, prices):
+    shops = spark.createDataFrame([(1, "blended"), (1, "icpp")], "merchant_id bigint, pricing_model string")
+    with pytest.raises(Exception, match="more than one"):
+        waterfall.price(purchase(spark).drop("pricing_model"), prices, shops).collect()
 
 
 @pytest.mark.parametrize("keys", [[], ["product"], ["mcc_group"], ["channel"], ["region"], ["pricing_model"], ["issuer_id"], ["acquirer_id"], ["product", "mcc_group"], ["channel", "region"], ["txn_month"]])
