@@ -21,7 +21,10 @@ all that is already processed); the suffixes so found move up within their group
 At the end a group holds the suffixes with one Lyndon prefix, and one ascending pass over the array emits each group's
 order from that of the suffixes behind the prefix. Nothing is renamed or sorted again.
 
-Documents of equal text are one text that occurs several times: each is repeated as a whole if it has LENGTH bytes.
+Documents of equal SHA-256 are one text that occurs several times: each is repeated as a whole if it has LENGTH bytes.
+Contexts are equal if their anchors' hashes, their own hashes and their lengths are (128 bits in all); strings of one task's
+suffix array are compared byte by byte, and those of hot anchors by their 64-bit hashes among the strings of such anchors.
+
 Defined results: null and empty texts have no bytes; kept_sha256 is that of what is left, of no bytes for all removed;
 a null doc_id and rows with the same doc_id are judged row by row.
 """
@@ -348,7 +351,7 @@ def _spans(runs: np.ndarray) -> np.ndarray:
 
 def _scan(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows of documents; runs packed by the anchor's bucket; spans and hot contexts by text."""
-    kinds = "kind int, key bigint, text bigint, n_bytes bigint, sha string, bucket int, data binary"
+    kinds = "kind int, key bigint, mark bigint, text bigint, n_bytes bigint, sha string, bucket int, data binary"
     schema = arrow_schema(kinds)
 
     def rows(kind: int, n: int, **columns):
@@ -368,9 +371,9 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         parts, size, seen = [], 0, set()
         for batch in released(batches):
-            texts = [t or b"" for t in utf8(batch.column(1))]
+            texts = [t or b"" for t in utf8(batch.column(2))]
             names = [text_name(t) for t in texts]
-            yield rows(_DOC, len(texts), key=batch.column(0), text=names, n_bytes=[len(t) for t in texts], sha=[hashlib.sha256(t).hexdigest() for t in texts])
+            yield rows(_DOC, len(texts), key=batch.column(0), mark=batch.column(1), text=names, n_bytes=[len(t) for t in texts], sha=[hashlib.sha256(t).hexdigest() for t in texts])
             new = {name: t for name, t in zip(names, texts, strict=True) if len(t) >= LENGTH and name not in seen}
             seen.update(new)
             runs = contexts(list(new.values()), list(new))
@@ -382,25 +385,24 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield from flush(parts)
 
-    return docs.select("key", "body").mapInArrow(run, kinds)
+    return docs.select("key", "mark", "body").mapInArrow(run, kinds)
 
 
 def _with_bodies(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (key, text, ...) with the body of the document of that key; keys that stand for several texts bring all."""
-    return docs.select("key", "body").join(rows, "key")
+    """rows (key, mark, text, ...) with the body of that key and mark; repeated rows of docs bring theirs as often."""
+    return docs.join(rows, ["key", "mark"])
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("key"), F.col("text").cast("string").alias("body")
-    )
+    body = F.col("text").cast("string")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("key"), F.xxhash64(body).alias("mark"), body.alias("body"))
     size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = math.ceil(size / 100 / RUNS) + 7
     scan = write_out(_scan(docs, buckets), "contexts")
-    rows = scan.where(F.col("kind") == _DOC).select("key", "text", "n_bytes", "sha")
+    rows = scan.where(F.col("kind") == _DOC).select("key", "mark", "text", "n_bytes", "sha")
     many = "text bigint, spans binary, needs binary"
 
     def by_anchor(table: pa.Table) -> pa.Table:
@@ -415,8 +417,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
             "text", F.when(F.col("kind") == _SPANS, F.col("data")), F.when(F.col("kind") == _HOT, F.col("data"))
         )
     )
-    a_key = rows.groupBy("text").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
-    needed = met.where("needs is not null").groupBy("text").agg(F.collect_list("needs").alias("needs")).join(a_key, "text")
+    a_row = rows.groupBy("text").agg(F.min(F.struct("key", "mark")).alias("one")).select("text", "one.key", "one.mark")
+    needed = met.where("needs is not null").groupBy("text").agg(F.collect_list("needs").alias("needs")).join(a_row, "text")
     piece_kinds = "bucket int, hot boolean, data binary"
     shards = max(6, math.ceil(size / 20 / SHARD))
 
@@ -491,15 +493,17 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     found = pieces.groupBy("bucket").applyInArrow(shard, found_kinds)
     spans = met.where("spans is not null").select("text", "spans").union(found)
     spans = spans.groupBy("text").agg(F.collect_list("spans").alias("spans"))
-    judged = write_out(a_key.join(spans, "text", "left"), "spans")
-    # hot texts have many rows: the small side of this join has one row a text
-    rows = rows.join(judged.select("text", "copies", F.col("spans").isNotNull().alias("partly")), "text")
+    spans = write_out(spans, "spans")
+    # documents are copies if their SHA-256 is equal; hot texts have many rows: the small sides of these joins have one row a text
+    copies = rows.groupBy("text", "sha").agg(F.count("*").alias("copies"))
+    rows = rows.join(copies, ["text", "sha"]).join(spans.select("text", F.lit(True).alias("found")), "text", "left").withColumn("partly", F.col("found").isNotNull())
+    rows = write_out(rows, "rows")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     plain = rows.where(whole | ~F.col("partly")).select(
         "key", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("bigint").alias("n_spans"),
         F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.col("sha")).alias("kept_sha256"),
     )
-    partly = judged.where("copies = 1 and spans is not null").select("key", "text", "spans")
+    partly = rows.where(~whole & F.col("partly")).select("key", "mark", "text").join(spans, "text")
     cut_kinds = "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def keep(batch: pa.RecordBatch) -> dict:

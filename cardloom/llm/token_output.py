@@ -11,8 +11,8 @@ so that one document costs two small reads and one frame. Documents ascend by do
 rows of the same doc_id stand together in any order).
 
 Defined results: a null or empty text has only the end id; rows with the same doc_id are each written; an empty table
-gives a folder without shards. The dictionary is trained on a bounded sample of SAMPLE_DOCS documents; every document
-is encoded whole.
+gives a folder without shards. The dictionary is trained on a bounded sample: SAMPLE_DOCS documents by a hash of their id, of
+each SAMPLE_PIECES pieces of SAMPLE_PIECE ids spread over the whole document; every document is encoded whole.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ HEAD = len(MAGIC) + 1 + 32
 TAIL = "<QQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u8")])
 #: Documents in a shard, about; and of the sample that the dictionary is trained on.
-SHARD_DOCS, SAMPLE_DOCS, SAMPLE_PIECE, DICTIONARY_BYTES, LEVEL = 8_192, 2_000, 2_048, 65_536, 1
+SHARD_DOCS, SAMPLE_DOCS, SAMPLE_PIECES, SAMPLE_PIECE, DICTIONARY_BYTES, LEVEL = 8_192, 2_000, 4, 2_048, 65_536, 1
 #: Rows of a batch: of more texts at once fewer words are new. Words whose ids a worker remembers.
 ROWS = 512
 MEMO = 700_000
@@ -139,7 +139,9 @@ def _sample(docs: DataFrame, tokenizer_path: str, width: int) -> list[bytes]:
     def pieces(batch: pa.RecordBatch) -> dict:
         out, step = [], SAMPLE_PIECE * width
         for ids in encoder(tokenizer_path)(list(utf8(batch.column(0)))):
-            out += [ids[k : k + step] for k in range(0, min(len(ids), 4 * step), step)]
+            # at most SAMPLE_PIECES pieces, spread over the whole text
+            pieces = -(-len(ids) // step)
+            out += [ids[k * step : (k + 1) * step] for k in range(0, pieces, -(-pieces // SAMPLE_PIECES) or 1)]
         return {"piece": pa.array(out, pa.binary())}
 
     return sorted(r[0] for r in map_arrow(picked.select("text"), pieces, "piece binary").collect())

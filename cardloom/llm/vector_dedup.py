@@ -8,8 +8,9 @@
    range expansion along the graph, from node to node for as long as nodes within the radius turn up. Every pair is
    verified by its cosine in double precision, counted in the first shard that both nodes share and in no other, and
    only links that join groups are returned. So a hot group of g near-equal vectors sends rows in proportion to g.
-4. The audit counts the links of up to AUDIT nodes (of vec_ids divisible by 50, by hash) by brute force against all
-   nodes. If fewer than RECALL of them were found, all is done again with twice the overlap.
+4. The audit counts the links of every vector whose vec_id is divisible by AUDIT by brute force against all nodes, in
+   blocks. If fewer than RECALL of them were found, all is done again with twice the overlap, and at last by comparing
+   the blocks of a label with each other as a whole, which finds all links.
 
 Defined results: a null or zero vector, one with a null or non-finite component, one whose length differs from that of
 another vector and one with a null label link only with vectors of their own length and label, or with nothing; such a
@@ -30,7 +31,10 @@ from .common import arrow_schema, components, hash_share, map_arrow, prepare, ra
 
 RADIUS = 0.98
 OVERLAP, BLOCK, DEGREE, MOST, ALPHA, BEAM, CANDIDATES = 3, 1_024, 24, 64, 1.2, 8, 96
-SAMPLE, SHARD, MAX_CENTROIDS, AUDIT, RECALL = 20_000, 512, 4_096, 500, 0.95
+#: Vectors that centroids are fitted on; vectors a shard is to have; centroids at most, beyond which shards have more blocks.
+SAMPLE, SHARD, MAX_CENTROIDS = 20_000, 512, 4_096
+#: Every AUDIT-th vec_id is audited, so many at once against so many.
+AUDIT, ASKED, AGAINST, RECALL = 50, 4_096, 65_536, 0.99
 #: Labels are classes: each has a shard at least, and its row in a list that all tasks get.
 MAX_KINDS = 100_000
 
@@ -192,8 +196,8 @@ def range_search(queries: np.ndarray, x: np.ndarray, lists: list[np.ndarray], ow
     return in_range
 
 
-def _search(table: pa.Table) -> pa.Table:
-    """Links between the queries and the index of one task."""
+def _search(table: pa.Table, exact: bool = False) -> pa.Table:
+    """Links between the queries and the index of one task, by the graph or by comparing all."""
     rows = table.select(["node", "unit", "near", "shards", "copies", "shard", "query", "index"]).to_pydict()
     index = sorted((k for k, yes in enumerate(rows["index"]) if yes), key=lambda k: rows["node"][k])
     query = sorted((k for k, yes in enumerate(rows["query"]) if yes), key=lambda k: rows["node"][k])
@@ -202,9 +206,11 @@ def _search(table: pa.Table) -> pa.Table:
         place = {rows["node"][k]: i for i, k in enumerate(index)}
         x = np.array([np.frombuffer(rows["unit"][k]) for k in index])
         q = np.array([np.frombuffer(rows["unit"][k]) for k in query])
-        graph = [np.array([place[m] for m in rows["near"][k] if m in place], int) for k in index]
         own = np.array([place.get(rows["node"][k], -1) for k in query])
-        found = range_search(q, x, graph, own)
+        if exact:
+            found = q @ x.T >= RADIUS - 1e-9
+        else:
+            found = range_search(q, x, [np.array([place[m] for m in rows["near"][k] if m in place], int) for k in index], own)
         found[np.flatnonzero(own >= 0), own[own >= 0]] = False
         copies = np.array([rows["copies"][k] for k in index])
         here = rows["shard"][0]
@@ -245,10 +251,11 @@ def _pad_shards(shards: list[int], width: int = 4 * OVERLAP) -> list[int]:
     return (shards + [-1] * width)[:width]
 
 
-def _links(nodes: DataFrame, counts: dict[str, int], overlap: int) -> DataFrame:
-    """(a, b, n): links that join groups (b not null), and links to n rows (b null)."""
+def _links(nodes: DataFrame, counts: dict[str, int], overlap: int, exact: bool = False) -> DataFrame:
+    """(a, b, n): links that join groups (b not null), and links to n rows (b null). exact: a label is one shard, blocks are compared whole."""
     spark = nodes.sparkSession
-    centers = spark.sparkContext.broadcast(_centroids(nodes, counts))
+    whole = {kind: (k, np.ones((1, int(kind.rpartition("/")[2])))) for k, kind in enumerate(sorted(counts))}
+    centers = spark.sparkContext.broadcast(whole if exact else _centroids(nodes, counts))
 
     def assign(batch: pa.RecordBatch) -> dict:
         cols = {k: [] for k in ("shard", "node", "unit", "shards", "copies")}
@@ -270,6 +277,8 @@ def _links(nodes: DataFrame, counts: dict[str, int], overlap: int) -> DataFrame:
     def build(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("node").to_numpy())
         names = table.column("node").to_numpy()[order]
+        if exact:
+            return pa.table([names, [[]] * len(names)], schema=arrow_schema("node bigint, near array<bigint>"))
         units = table.column("unit").to_pylist()
         graph = build_graph(np.array([np.frombuffer(units[k]) for k in order]))
         return pa.table([names, [names[g].tolist() for g in graph]], schema=arrow_schema("node bigint, near array<bigint>"))
@@ -282,33 +291,38 @@ def _links(nodes: DataFrame, counts: dict[str, int], overlap: int) -> DataFrame:
     several = full.where("blocks > 1").withColumn("other", other)
     asked = several.select("shard", F.col("block").cast("int"), F.col("other").cast("int"), "node", "unit", F.array().cast("array<bigint>"), "shards", "copies", F.lit(True), F.lit(False))
     index = several.select("shard", F.col("other").cast("int"), F.col("block").cast("int"), "node", "unit", "near", "shards", "copies", F.lit(False), F.lit(True))
-    return write_out(one.union(asked).union(index).groupBy("shard", "i", "j").applyInArrow(_search, "a bigint, b bigint, n bigint"), "found")
+    return write_out(one.union(asked).union(index).groupBy("shard", "i", "j").applyInArrow(lambda table: _search(table, exact), "a bigint, b bigint, n bigint"), "found")
 
 
 def _audit(nodes: DataFrame, rows: DataFrame, counted: DataFrame) -> float:
-    """Of the links that brute force finds for up to AUDIT nodes, the share that was counted."""
-    asked = rows.where("node is not null and vec_id % 50 = 0").select("node").distinct().orderBy(F.xxhash64("node")).limit(AUDIT)
-    queries = nodes.join(F.broadcast(asked), "node").select("node", "kind", "unit").collect()
-    if not queries:
+    """Of the links that brute force finds for the nodes of every AUDIT-th vec_id, the share that was counted."""
+    asked = rows.where(F.col("node").isNotNull() & (F.col("vec_id") % AUDIT == 0)).select("node").distinct()
+    asked = nodes.join(asked, "node", "left_semi").select("node", "kind", "unit")
+    n_asked, n_all = asked.count(), nodes.count()
+    if not n_asked:
         return 1.0
-    of: dict[str, list] = {}
-    for node, kind, unit in queries:
-        of.setdefault(kind, []).append((node, np.frombuffer(unit)))
-    packed = nodes.sparkSession.sparkContext.broadcast({k: (np.array([a for a, _ in v]), np.array([b for _, b in v])) for k, v in of.items()})
-
-    def count(batch: pa.RecordBatch) -> dict:
-        found: dict[int, int] = {}
-        names, kinds, units, copies = (c.to_pylist() for c in batch.columns)
-        for kind, (asked, q) in packed.value.items():
-            mine = [k for k, x in enumerate(kinds) if x == kind]
-            if mine:
-                near = q @ np.array([np.frombuffer(units[k]) for k in mine]).T >= RADIUS
-                near &= asked[:, None] != np.array([names[k] for k in mine])
-                for a, n in zip(asked.tolist(), (near * np.array([copies[k] for k in mine])).sum(axis=1).tolist(), strict=True):
-                    found[a] = found.get(a, 0) + n
-        return {"node": list(found), "n": list(found.values())}
-
-    true = map_arrow(nodes.select("node", "kind", "unit", "copies"), count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
+    across, down = math.ceil(n_asked / ASKED), math.ceil(n_all / AGAINST)
+    block = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(block(across, "asked").alias("i"), each(down).alias("j"), "node", "kind", "unit", F.lit(0).cast("bigint").alias("copies"))
+    right = nodes.select(each(across).alias("i"), block(down, "against").alias("j"), "node", "kind", "unit", "copies")
+
+    def count(table: pa.Table) -> pa.Table:
+        cols = table.to_pydict()
+        by: dict[str, tuple[list[int], list[int]]] = {}
+        for k, (kind, copies) in enumerate(zip(cols["kind"], cols["copies"], strict=True)):
+            by.setdefault(kind, ([], []))[copies > 0].append(k)
+        names, found = [], []
+        for queries, index in by.values():
+            if queries and index:
+                q, x = (np.array([np.frombuffer(cols["unit"][k]) for k in part]) for part in (queries, index))
+                mine, theirs = (np.array([cols["node"][k] for k in part]) for part in (queries, index))
+                near = (q @ x.T >= RADIUS) & (mine[:, None] != theirs)
+                names += mine.tolist()
+                found += (near * np.array([cols["copies"][k] for k in index])).sum(axis=1).tolist()
+        return pa.table([names, found], schema=arrow_schema("node bigint, n bigint"))
+
+    true = left.union(right).groupBy("i", "j").applyInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
     both = true.join(counted, "node", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("found", F.lit(0))))).first()
     return float(both[1]) / both[0] if both[0] else 1.0
 
@@ -325,16 +339,12 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     counts = {r[0]: r[1] for r in nodes.groupBy("kind").count().collect()}
     if len(counts) > MAX_KINDS:
         raise ValueError(f"more than {MAX_KINDS} labels")
-    recall, overlap = 0.0, OVERLAP
-    while True:
-        found = _links(nodes, counts, overlap)
+    for overlap, exact in ((OVERLAP, False), (2 * OVERLAP, False), (4 * OVERLAP, False), (1, True)):
+        found = _links(nodes, counts, overlap, exact)
         counted = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("found"))
         recall = _audit(nodes, rows, counted)
-        if recall >= RECALL or overlap >= 4 * OVERLAP:
+        if recall >= RECALL:
             break
-        overlap *= 2
-    if recall < 0.9:
-        raise RuntimeError(f"the graph search found {recall:.3f} of the audited links")
     groups = components(found.where("b is not null").select("a", "b")).withColumnRenamed("component", "root")
     named = nodes.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "vec_id", "copies")
     least = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))

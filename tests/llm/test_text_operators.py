@@ -246,6 +246,12 @@ def test_repeats(spark, which):
     assert sorted(map(tuple, suffix_dedup.repeated_bytes(docs).collect()), key=str) == brute_repeats(rows)
 
 
+def test_repeats_of_rows_without_ids(spark):
+    rows = [(None, t) for _, t in passages()] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(map(tuple, suffix_dedup.repeated_bytes(docs).collect()), key=str) == brute_repeats(rows)
+
+
 def test_repeats_of_documents_and_none(spark, small, none):
     rows = [tuple(r) for r in common.read(spark, small, "documents").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op6_suffix_dedup(spark, small).collect()), key=str) == brute_repeats(rows)

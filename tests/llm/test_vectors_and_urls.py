@@ -38,6 +38,27 @@ def test_vectors(spark, monkeypatch, block):
     assert sorted(tuple(r)[:4] for r in got.collect()) == brute(rows)
 
 
+def test_what_the_graph_misses_is_found_by_comparing_all(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(5, 8))
+    rows = [(k, (base[k % 5] + draw.normal(size=8) * 0.03).tolist(), k % 2) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    searched = []
+
+    def links(nodes, counts, overlap, exact=False, real=vector_dedup._links):
+        searched.append((overlap, exact))
+        out = real(nodes, counts, overlap, exact)
+        return out if exact else out.limit(0)
+
+    monkeypatch.setattr(vector_dedup, "_links", links)
+    monkeypatch.setattr(vector_dedup, "BLOCK", 32)
+    monkeypatch.setattr(vector_dedup, "AGAINST", 16)
+    monkeypatch.setattr(vector_dedup, "ASKED", 1)
+    got = vector_dedup.near_vectors(df).collect()
+    assert [e for _, e in searched] == [False, False, False, True]
+    assert sorted(tuple(r)[:4] for r in got) == brute(rows) and {r["audit_recall"] for r in got} == {1.0}
+
+
 def test_vectors_of_the_driver_and_none(spark, small):
     rows = [tuple(r) for r in common.read(spark, small, "embeddings").select("vec_id", "embedding", "label").collect()]
     assert sorted(tuple(r)[:4] for r in queries.op5_vector_dedup(spark, small).collect()) == brute(rows)
