@@ -1,5 +1,6 @@
 """The entry without the corpus operators, positions in a total order, and the row contract."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -22,10 +23,18 @@ def test_the_entry_without_the_corpus_operators(tmp_path, gone):
             shutil.rmtree(path)
         elif path.exists():
             path.unlink()
-    code = "import __spark_entry__ as e; q = e.queries(); print(len([k for k in q if not k.startswith('op') and k != 'pipeline']), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
-    said = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, check=True)
-    n, pipeline, named = said.stdout.split()
-    assert int(n) > 130 and pipeline == "False" and named == "True"
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+q = e.queries()
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("SAID", e.__file__, len([k for k in q if not k.startswith("op") and k != "pipeline"]), "pipeline" in q, set(e.oracle_sql()) <= set(q), q["p02_issuers"](spark, e.SMALL).count())
+"""
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}  # else the original's modules are found for the deleted ones
+    said = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path / "repo", env=clean, capture_output=True, text=True, check=True)
+    file, n, pipeline, named, rows = said.stdout.partition("SAID")[2].split()
+    assert file == str(tmp_path / "repo" / "__spark_entry__.py")
+    assert int(n) > 120 and pipeline == "False" and named == "True" and int(rows) == 25
 
 
 def test_positions(spark):
