@@ -12,11 +12,14 @@ from . import (
     language_id,
     line_dedup,
     mixing,
+    resampling,
+    sharding,
     suffix_dedup,
     token_output,
     toxicity,
     url_filter,
     vector_dedup,
+    whitening,
 )
 from .common import read
 
@@ -73,6 +76,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(read(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
@@ -84,6 +99,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_sharding": op11_sharding,
+    "op12_resampling": op12_resampling,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": url_filter.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": url_filter.sql(),
+    "op11_sharding": sharding.sql(),
+    "op12_resampling": resampling.sql(),
+}
