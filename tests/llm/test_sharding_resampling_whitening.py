@@ -176,7 +176,7 @@ def test_range_finder_and_widening(spark):
 
 
 def test_odd_vectors(spark):
-    good = planted(spark, 5, 3, 50).collect()
+    good = planted(spark, 5, 3, 50, 5.0).collect()
     odd = [(900, None), (901, [1.0, None, 2.0, 3.0, 4.0]), (902, [1.0, float("nan"), 2.0, 3.0, 4.0]), (903, [1.0, float("inf"), 2.0, 3.0, 4.0]), (904, []), (905, [1.0]), (906, [1e300, 1.0, 1.0, 1.0, 1.0])]
     table = spark.createDataFrame([(i, v, 1, "x", "y") for i, v in [*map(tuple, good), *odd]], "vec_id bigint, embedding array<double>, component int, v string, k string")
     close(whitening.whiten(table).collect(), [tuple(r) for r in good], 5)
