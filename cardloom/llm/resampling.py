@@ -135,12 +135,12 @@ def bucket_totals(found: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, gain): thousandths of the log ratio of the bucket's smoothed share of the target and of the corpus."""
-    s = corpus.withColumnRenamed("n", "s").join(target.withColumnRenamed("n", "t"), "bucket", "full").fillna(0)
+    all_s, all_t = (x.agg(F.sum("n")).first()[0] or 0 for x in (corpus, target))
+    s = corpus.withColumnRenamed("n", "s").join(target.withColumnRenamed("n", "t"), "bucket", "full")
     every = corpus.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(s, "bucket", "left").fillna(0)
-    total = F.broadcast(corpus.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_s")).crossJoin(target.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_t"))))
-    num = lambda c, more: F.col(c).cast("double") + F.lit(float(more))
-    ratio = (num("t", 1) * num("all_s", buckets)) / (num("s", 1) * num("all_t", buckets))
-    return every.crossJoin(total).select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).cast("bigint").alias("gain"))
+    more = lambda c, by: F.col(c).cast("double") + F.lit(float(by))
+    ratio = (more("t", 1) * F.lit(float(all_s + buckets))) / (more("s", 1) * F.lit(float(all_t + buckets)))
+    return every.select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).cast("bigint").alias("gain"))
 
 
 def weights(found: DataFrame, gain: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -179,7 +179,8 @@ def resample(docs: DataFrame, target: DataFrame, text: str = "text", key: str =
     them: their counts go to the driver for the lowest score drawn, and only documents from it on are sorted.
     """
     found = write_out(features(docs, text, key, longest, buckets), "features")
-    gain = gains(bucket_totals(found, buckets), bucket_totals(features(target, target_text, None, longest, buckets), buckets), buckets)
+    totals = [write_out(bucket_totals(x, buckets), "totals") for x in (found, features(target, target_text, None, longest, buckets))]
+    gain = gains(*totals, buckets)
     scored = write_out(weights(found, gain, buckets).withColumn("score", F.col("weight") + noise("doc_id", seed)), "scores")
     enough = F.col("n_words") >= least_words
     counts = sorted(map(tuple, scored.where(enough).groupBy("score").count().collect()), reverse=True)
