@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..operators import acceptance, affinity, expectations, generate, graph, links, marts, pnl, profile, segment, shapley, waterfall
-from ..sources import bridge, contract, fees
-from ..sources.scratch import kept
-from .oracle import over_fact, over_tables
+from ..sources import bridge, contract, fees, warehouse
+from ..sources.scratch import kept, shared
+from .oracle import FACT, over_fact, over_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,7 +46,7 @@ FEES = ("interchange_cop", "network_revenue_cop", "mdr_cop", "issuer_gross_cop",
 ALL_MONEY = ", ".join(f"round(sum({c}), 4) as {c}" for c in waterfall.MONEY)
 RATES = ", ".join(f"round(sum({c}) / sum(amount_cop), 10) as {r}" for r, c in pnl.RATES.items())
 PNL_COLUMNS = f"count(*) as n_txns, cast(sum(amount_cop) as double) as gdv_cop, {ALL_MONEY}, {RATES}"
-fact = waterfall.fact
+fact = warehouse.fact
 
 
 # Sources and projections
@@ -82,6 +82,35 @@ def _(spark, d):
     return rounded(back.select("vec_id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[63].cast("double").alias("last")))
 
 
+@query("s14_months_of_a_year", over_fact("select txn_month, count(*) as n_txns, round(sum(mdr_cop), 4) as mdr_cop from fct where txn_month between date '1995-01-01' and date '1995-12-01' group by txn_month"))
+def _(spark, d):
+    year = fact(spark, d).where(F.col("txn_month").between(F.lit("1995-01-01").cast("date"), F.lit("1995-12-01").cast("date")))
+    return rounded(year.groupBy("txn_month").agg(F.count("*").alias("n_txns"), F.sum("mdr_cop").alias("mdr_cop")))
+
+
+CHANGED, GONE = "1995-03-01", "1996-07-01"
+_AMOUNT = "cast(floor(l_extendedprice) as bigint) as amount_cop"
+_MORE = f"cast(floor(l_extendedprice) as bigint) + if(date_trunc('month', cast(o_orderdate as date)) = date '{CHANGED}', 1000, 0) as amount_cop"
+
+
+@query("s14_repriced_month", FACT.replace(_AMOUNT, _MORE) + f"\nselect txn_month, count(*) as n_txns, round(sum(interchange_cop), 4) as interchange_cop, round(sum(mdr_cop), 4) as mdr_cop, round(sum(acquirer_contribution_cop), 4) as acquirer_contribution_cop, txn_month = date '{CHANGED}' as repriced from fct where txn_month <> date '{GONE}' group by txn_month")
+def _(spark, d):
+    # a store is built, then one month's amounts change and another month goes
+    import uuid
+
+    store = warehouse.FactStore(spark, f"{shared(spark)}/repriced-{uuid.uuid4().hex}")
+    purchases, shops = bridge.transactions(spark, d), bridge.merchants(spark, d)
+    prices = waterfall.Prices.configured(spark, bridge.acquirers(spark, d))
+    tables = {n: getattr(prices, n) for n in prices.__dataclass_fields__}
+    price = lambda p: waterfall.price(p, prices, shops)
+    store.refresh(purchases, shops, tables, price)
+    more = F.when(warehouse.month() == F.lit(CHANGED).cast("date"), 1000).otherwise(0)
+    later = purchases.withColumn("amount_cop", F.col("amount_cop") + more).where(warehouse.month() != F.lit(GONE).cast("date"))
+    months = store.refresh(later, shops, tables, price)
+    out = store.read().groupBy("txn_month").agg(F.count("*").alias("n_txns"), *(F.sum(c).alias(c) for c in ("interchange_cop", "mdr_cop", "acquirer_contribution_cop")))
+    return rounded(out.withColumn("repriced", F.col("txn_month").isin(months)))
+
+
 @query("p13_duplicate_cells", over_tables("select product, mcc_group, channel, region, count(*) as count from (select * from grid union all select * from grid where product = 'debit') g group by all having count(*) > 1"))
 def _(spark, d):
     g = fees.grid(spark)

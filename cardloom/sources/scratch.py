@@ -6,22 +6,27 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROW = (1 << 33) - 1
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written and read again, so that what reads it several times doesn't work it out again, nor does a lost executor."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cardloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written and read again, so that what reads it several times doesn't work it out again, nor does a lost executor."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
