@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import acceptance, affinity, expectations, generate, graph, links, marts, pnl, profile, segment, shapley, waterfall
+from ..operators import acceptance, affinity, communities, expectations, generate, graph, links, marts, pnl, profile, segment, shapley, spectral, waterfall
 from ..sources import bridge, contract, fees, warehouse
 from ..sources.scratch import kept, shared
 from .oracle import FACT, over_fact, over_tables
@@ -675,15 +675,13 @@ def _(spark, d):
 
 @query("m02_spectral_embedding")
 def _(spark, d):
-    ids, x = segment.spectral(graph.ppmi(graph.cap_degree(_pairs(spark, d), 200)))
-    return spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "merchant_id bigint, vector array<double>")
+    return spectral.embedding(graph.ppmi(graph.cap_degree(_pairs(spark, d), 200)))
 
 
 @query("m07_communities")
 def _(spark, d):
-    rows = [tuple(r) for r in graph.projection(_pairs(spark, d)).collect()]
-    labels = spark.createDataFrame(list(segment.louvain(rows).items()), "merchant_id bigint, segment bigint")
-    return _pairs(spark, d).select("merchant_id").distinct().join(labels, "merchant_id", "left").fillna(segment.UNASSIGNED)
+    p = _pairs(spark, d)
+    return communities.merchant_communities(graph.projection(p), p.select("merchant_id"))
 
 
 @query("m12_tree_segments")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardloom.functions import money
-from cardloom.operators import acceptance, generate, graph, links, profile, segment
+from cardloom.operators import acceptance, communities, generate, graph, links, profile, segment, spectral
 from cardloom.sources import bridge, fees, tables
 from cardloom.streaming import edges as stream_edges
 
@@ -25,11 +25,11 @@ def toy(spark):
 
 def test_planted_communities(spark):
     pairs = toy(spark)
-    labels = segment.louvain([tuple(r) for r in graph.projection(pairs, top=8, least=3, neighbours=30).collect()])
+    labels = dict(map(tuple, communities.leiden(graph.projection(pairs, top=8, least=3, neighbours=30)).collect()))
     of = [{labels[m] for m in labels if (m < 12) == low} for low in (True, False)]
     assert len(of[0]) == len(of[1]) == 1 and of[0] != of[1]
-    ids, x = segment.spectral(graph.ppmi(pairs), 4)
-    assert np.allclose(np.linalg.norm(x, axis=1), 1)
+    vectors = spectral.embedding(graph.ppmi(pairs), dims=4).collect()
+    assert np.allclose(np.linalg.norm([r["vector"] for r in vectors], axis=1), 1)
     card = pairs.select(F.lit("c").alias("node_type"), F.col("cardholder_id").alias("id"), (F.col("cardholder_id") < 20).cast("int").alias("community")).distinct()
     shop = pairs.select(F.lit("m").alias("node_type"), F.col("merchant_id").alias("id"), (F.col("merchant_id") < 12).cast("int").alias("community")).distinct()
     assert graph.modularity(pairs, card.union(shop)).first()[0] > 0.2
