@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import acceptance, affinity, communities, expectations, generate, graph, links, marts, pnl, profile, segment, shapley, spectral, waterfall
+from ..operators import acceptance, affinity, communities, expectations, generate, graph, graphsage, links, marts, pnl, profile, segment, shapley, spectral, waterfall
 from ..sources import bridge, contract, fees, warehouse
 from ..sources.scratch import kept, shared
 from .oracle import FACT, over_fact, over_tables
@@ -828,20 +828,16 @@ def _(spark, d):
     return rounded(links.better_source(by_group, links.ranking_metrics(links.random_scores(s), s), ("group", "random")))
 
 
-@query("l12_graph_convolutions")
-def _(spark, d):
-    import numpy as np
+def _convolutions(spark, d):
+    pairs = kept(_split(spark, d)["train"], "train")
+    known = bridge.cardholders(spark, d).select("cardholder_id", "spend_segment", "product")
+    cards = graphsage.activity_features(pairs, "cardholder_id", known, {"spend_segment": ("low", "mid", "high"), "product": fees.PRODUCTS})
+    return graphsage.train(pairs, cards, graphsage.activity_features(pairs, "merchant_id"))
 
-    from ..operators import graphsage
 
-    # all pairs; one more than train takes is enough for it to refuse
-    rows = sorted(map(tuple, _pairs(spark, d).select("cardholder_id", "merchant_id").limit(graphsage.MOST_EDGES + 1).collect()))
-    cards, shops = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-    at_c, at_m = {k: i for i, k in enumerate(cards)}, {k: i for i, k in enumerate(shops)}
-    edges = np.array([(at_c[c], at_m[m]) for c, m in rows])
-    degree = lambda k, n: np.c_[np.log1p(np.bincount(edges[:, k], minlength=n)), np.ones(n), np.random.default_rng(k).normal(size=(n, 6))]
-    fit = graphsage.train(edges, degree(0, len(cards)), degree(1, len(shops)), dims=16, epochs=20)
-    return spark.createDataFrame([(m, v.tolist()) for m, v in zip(shops, fit.merchants, strict=True)], "merchant_id bigint, vector array<double>")
+@query("l12_graph_convolutions")
+def _(spark, d):
+    return _convolutions(spark, d).merchants.withColumnRenamed("id", "merchant_id")
 
 
 @query("l20_bootstrap_gap")
