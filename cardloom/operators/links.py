@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..sources import fees
+from ..sources.scratch import kept
 from .graph import collapse
 
 
@@ -113,18 +114,35 @@ def recall_by_card(scores: DataFrame, split: dict[str, DataFrame], k: int = 10)
     return wanted.join(hits, "cardholder_id", "left").select("cardholder_id", (F.coalesce("hits", F.lit(0)) / F.col("wanted")).alias("recall"))
 
 
-def bootstrap_gap(a: DataFrame, b: DataFrame, draws: int = 200, seed: str = "bootstrap") -> DataFrame:
+#: P(Poisson(1) <= 0, 1, ..., 6); a weight of 8 and more would be one in a million.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+#: Cardholders whose draws are summed before anything is shuffled by draw.
+TOGETHER = 256
+
+
+def bootstrap_gap(a: DataFrame, b: DataFrame, draws: int = 2_000, seed: str = "bootstrap") -> DataFrame:
     """Mean difference of two recalls and its 95 % interval over resampled cardholders.
 
-    A resample weighs every cardholder by a Poisson(1) number that a hash of draw and id gives, so each draw is one
-    aggregation and the same cardholders weigh the same for every pair of methods.
+    A resample weighs every cardholder by a Poisson(1) number that a hash of draw and id gives: the same cardholders weigh
+    the same for every pair of methods. Cardholders are gathered by TOGETHER, whose sums of all draws are made in place;
+    what is shuffled by draw is a row for each of those groups.
     """
-    both = a.join(b.withColumnRenamed("recall", "other"), "cardholder_id").withColumn("gap", F.col("recall") - F.col("other"))
-    u = money.hashed_uniform(F.col("cardholder_id").cast("string"), F.col("draw").cast("string"), seed)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((u >= c).cast("int") for c in cuts)
-    drawn = both.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("gap") * F.col("w")), F.sum("w")).alias("mean"))
+    both = kept(a.join(b.withColumnRenamed("recall", "other"), "cardholder_id").select("cardholder_id", (F.col("recall") - F.col("other")).alias("gap")), "gaps")
+    groups = max(1, -(-both.count() // TOGETHER))
+    one = F.struct(F.col("cardholder_id").cast("string").alias("id"), "gap")
+    some = both.groupBy(F.pmod(F.xxhash64("cardholder_id"), F.lit(groups))).agg(F.collect_list(one).alias("cards"))
+
+    def weight(card, draw):
+        u = money.hashed_uniform(card["id"], draw.cast("string"), F.lit(seed))
+        return sum(F.when(u >= c, 1).otherwise(0) for c in POISSON)
+
+    def summed(draw):
+        weighed = F.transform("cards", lambda card: F.struct(card["gap"].alias("gap"), weight(card, draw).alias("w")))
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("w"))
+        return F.aggregate(weighed, zero, lambda sums, x: F.struct((sums["s"] + x["gap"] * x["w"]).alias("s"), (sums["w"] + x["w"]).alias("w")))
+
+    drawn = some.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(draws)), summed)).alias("draw", "sums"))
+    means = drawn.groupBy("draw").agg(F.try_divide(F.sum("sums.s"), F.sum("sums.w")).alias("mean"))
     ends = means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     return both.agg(F.avg("gap").alias("gap")).crossJoin(ends)  # one row each
 

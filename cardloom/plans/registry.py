@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..operators import acceptance, affinity, communities, expectations, generate, graph, graphsage, links, marts, pnl, profile, segment, shapley, spectral, waterfall
-from ..sources import bridge, contract, fees, warehouse
+from ..sources import bridge, contract, fees, rules, warehouse
 from ..sources.scratch import kept, shared
 from .oracle import FACT, over_fact, over_tables
 
@@ -318,6 +318,52 @@ def _(spark, d):
     })
 
 
+_TXN_ID = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+_RULED = (  # the tables that rules are checked on, with faults planted into some
+    f"stg_transactions as (select {_TXN_ID} as txn_id, if(mcc_group = 'fuel', null, txn_date) as txn_date, amount_cop, if(mcc_group = 'grocery', 'web', channel) as channel from tx)",
+    "stg_merchants as (select merchant_id, pricing_model, if(size_tier = 'large', null, sector_margin) as sector_margin from merchants union all select merchant_id, 'free', sector_margin from merchants where merchant_id % 100 = 0)",
+    "stg_cardholders as (select if(cardholder_id % 40 = 0, null, cardholder_id) as cardholder_id from cardholders)", "stg_issuers as (select * from issuers)", "stg_acquirers as (select * from acquirers)",
+    "stg_mccs as (select * from mccs)", "stg_interchange_table as (select region, if(product = 'debit', null, rate) as rate from grid)",
+    "stg_network_fees as (select 1.0 as acquirer_assessment_rate, 1.0 as issuer_assessment_rate)", "stg_pricing_terms as (select acquirer_id, 1.0 as icpp_markup_rate, 1.0 as blended_cross_border_rate from acquirers)",
+    f"fct_transactions as (select *, {_TXN_ID} as txn_id from fct union all by name select *, {_TXN_ID} as txn_id from fct where l_orderkey % 50 = 0)",
+    "dim_merchant as (select * from merchants)", "dim_cardholder as (select * from cardholders where cardholder_id % 7 <> 0)", "dim_issuer as (select * from issuers where issuer_id <> '3')", "dim_acquirer as (select * from acquirers)",
+    "dim_date as (select distinct txn_date as date_day from tx where day(txn_date) <> 13)",
+    "mart_pnl_by_actor as (select k.actor_type, if(product = 'commercial', null, 1.0) as revenue_cop from (select distinct txn_month, issuer_id, product, mcc_group from fct) a, (values ('issuer')) k(actor_type) union all select 'acquirer', if(product = 'commercial', null, 1.0) from (select distinct txn_month, acquirer_id, product, mcc_group from fct) union all select 'network', if(product = 'commercial', null, 1.0) from (select distinct txn_month, product, mcc_group from fct))",
+    "mart_effective_interchange as (select 1.0 as effective_interchange_rate, 1.0 as net_revenue_yield)", "mart_merchant_relative_burden as (select distinct merchant_id, 1.0 as relative_burden from fct)", "mart_graph_edges as (select 1 as n_txns)",
+)
+
+
+def _rules_sql() -> str:
+    one = {
+        "unique": lambda r: f"(select count(*) from (select {r.column} from {r.table} where {r.column} is not null group by 1 having count(*) > 1))",
+        "not_null": lambda r: f"(select count(*) filter ({r.column} is null) from {r.table})",
+        "accepted_values": lambda r: f"(select count(*) filter ({r.column} not in ({', '.join(repr(v) for v in r.of)})) from {r.table})",
+        "relationships": lambda r: f"(select count(*) from {r.table} f where {r.column} is not null and not exists (select 1 from {r.of[0]} d where d.{r.of[1]} = f.{r.column}))",
+    }
+    return over_fact(" union all ".join(f"select '{r.name}' as rule, {one[r.kind](r)} as violations" for r in expectations.compiled(rules.SCHEMA)), *_RULED)
+
+
+@query("e25_schema_rules", _rules_sql())
+def _(spark, d):
+    t, m, c = bridge.transactions(spark, d), bridge.merchants(spark, d), bridge.cardholders(spark, d)
+    issuers, acquirers, f = bridge.issuers(spark, d), bridge.acquirers(spark, d), fact(spark, d)
+    txn_id = F.concat_ws("-", *(F.col(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("txn_id")
+    hole = lambda where, name: F.when(~where, F.col(name)).alias(name)
+    fct = f.select("*", txn_id)
+    tables = {
+        "stg_transactions": t.select(txn_id, hole(F.col("mcc_group") == "fuel", "txn_date"), "amount_cop", F.when(F.col("mcc_group") == "grocery", "web").otherwise(F.col("channel")).alias("channel")),
+        "stg_merchants": m.select("merchant_id", "pricing_model", hole(F.col("size_tier") == "large", "sector_margin")).union(m.where("merchant_id % 100 = 0").select("merchant_id", F.lit("free"), "sector_margin")),
+        "stg_cardholders": c.select(hole(F.col("cardholder_id") % 40 == 0, "cardholder_id")), "stg_issuers": issuers, "stg_acquirers": acquirers, "stg_mccs": bridge.mccs(spark, d),
+        "stg_interchange_table": fees.grid(spark).select("region", hole(F.col("product") == "debit", "rate")), "stg_network_fees": fees.network_fees(spark), "stg_pricing_terms": fees.pricing_terms(acquirers),
+        "fct_transactions": fct.unionByName(fct.where("l_orderkey % 50 = 0")),
+        "dim_merchant": marts.dim_merchant(m, bridge.mccs(spark, d)), "dim_cardholder": marts.dim_cardholder(c, issuers).where("cardholder_id % 7 <> 0"), "dim_issuer": issuers.where("issuer_id <> '3'"), "dim_acquirer": acquirers,
+        "dim_date": t.select(F.col("txn_date").alias("date_day")).distinct().where(F.dayofmonth("date_day") != 13),
+        "mart_pnl_by_actor": marts.pnl_by_actor(f).withColumn("revenue_cop", hole(F.col("product") == "commercial", "revenue_cop")), "mart_effective_interchange": marts.effective_interchange(f),
+        "mart_merchant_relative_burden": marts.merchant_burden(f, m), "mart_graph_edges": marts.graph_edges(f),
+    }
+    return expectations.check_rules(spark, tables, expectations.compiled(rules.SCHEMA))
+
+
 @query("e14_repricing", over_fact(f"""select size_tier, sum(amount_cop)::bigint as gdv_cop, round(sum(b), 4) as mdr_blended_cop, round(sum(b - interchange_cop - acquirer_network_fee_cop), 4) as margin_blended_cop,
  round(sum(i), 4) as mdr_icpp_cop, round(sum(i - interchange_cop - acquirer_network_fee_cop), 4) as margin_icpp_cop, round(sum(i - b) / sum(amount_cop), 10) as difference_rate
  from (select f.*, m.size_tier, amount_cop::double * (g.blended_mdr_rate + if(cross_border, {fees.BLENDED_CROSS_BORDER}, 0)) as b,
@@ -840,12 +886,25 @@ def _(spark, d):
     return _convolutions(spark, d).merchants.withColumnRenamed("id", "merchant_id")
 
 
-@query("l20_bootstrap_gap")
+def _recalls(top: str) -> str:
+    return f"(select cardholder_id, coalesce(h, 0) / w as recall from (select cardholder_id, count(*)::double as w from positives group by all) p left join (select cardholder_id, count(q.x)::double as h from {top} left join (select *, 1 as x from positives) q using (cardholder_id, merchant_id) group by cardholder_id) t using (cardholder_id))"
+
+
+_DRAW = HASHED("cardholder_id || '|' || draw", "bootstrap")
+_WEIGHT = " + ".join(f"(u >= {c!r})::int" for c in links.POISSON)
+
+
+@query("l20_bootstrap_gap", over_tables(
+    "select round((select avg(gap) from gaps), 10) as gap, round(quantile_cont(mean, 0.025), 10) as low, round(quantile_cont(mean, 0.975), 10) as high from means", EDGES, SPLIT, SUPPLIER_GROUPS,
+    "by_group" + _top(f"select cardholder_id, merchant_id, round(score, 12) as score from ({GROUPED}) g").removeprefix("top"), "by_chance" + _top(RANDOM).removeprefix("top"),
+    f"gaps as (select cardholder_id, a.recall - b.recall as gap from {_recalls('by_group')} a join {_recalls('by_chance')} b using (cardholder_id))",
+    f"means as (select draw, sum(gap * ({_WEIGHT})) / sum({_WEIGHT}) as mean from (select gap, draw, {_DRAW} as u from gaps, (select unnest(range(1, 2001)) as draw) k) x group by draw)",
+))
 def _(spark, d):
     s = links.temporal_split(_edges(spark, d))
-    a = links.recall_by_card(links.group_popularity(s, _supplier_groups(spark, d)), s)
+    a = links.recall_by_card(links.group_popularity(s, _supplier_groups(spark, d)).withColumn("score", F.round("score", 12)), s)
     b = links.recall_by_card(links.random_scores(s), s)
-    return links.bootstrap_gap(a, b)
+    return rounded(links.bootstrap_gap(a, b))
 
 
 VECTORS = "vectors as (select vec_id as merchant_id, embedding::double[] as v from embeddings)"
@@ -1029,8 +1088,25 @@ def _(spark, d):
     return links.restrict(s, s["candidates"].where("merchant_id % 2 = 0"))["positives"].select("cardholder_id", "merchant_id")
 
 
+def _files_of_batch(spark, folder: str, batch: int) -> list[str]:
+    """The files that a stream's source log names for a batch."""
+    import json
+
+    lines = [r[0] for r in spark.read.text(f"{folder}/checkpoint/sources/0/{batch}").collect()]
+    return [json.loads(x)["path"] for x in lines if x.startswith("{")]
+
+
 @query("p06_streamed_edges", over_tables("select * from edges", EDGES))
 def _(spark, d):
-    from ..streaming.edges import edges_of_table
+    # the purchases arrive as files, by year; the first batch is run twice
+    import uuid
+
+    from ..streaming import edges
 
-    return edges_of_table(bridge.transactions(spark, d).select("txn_date", "cardholder_id", F.col("shop_id").alias("merchant_id"), "amount_cop"))
+    folder = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    purchases = bridge.transactions(spark, d).select("txn_date", "cardholder_id", F.col("shop_id").alias("merchant_id"), "amount_cop")
+    purchases.repartition(7, F.year("txn_date")).write.parquet(f"{folder}/in")
+    edges.stream_edges(spark, f"{folder}/in", purchases.schema, f"{folder}/out", f"{folder}/checkpoint", 2).awaitTermination()
+    again = spark.read.schema(purchases.schema).parquet(*_files_of_batch(spark, folder, 0))
+    edges.upsert_edges(again, 0, f"{folder}/out")
+    return edges.read_edges(spark, f"{folder}/out")
