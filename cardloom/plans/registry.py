@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import acceptance, affinity, communities, expectations, generate, graph, graphsage, links, marts, pnl, profile, segment, shapley, spectral, waterfall
+from ..operators import acceptance, affinity, communities, expectations, generate, graph, graphsage, kmeans, links, marts, pnl, profile, segment, shapley, spectral, waterfall
 from ..sources import bridge, contract, fees, rules, warehouse
 from ..sources.scratch import kept, shared
 from .oracle import FACT, over_fact, over_tables
@@ -708,6 +708,11 @@ def _features_sql() -> str:
     return over_fact(select, PROFILE, feats, moments, z, norm)
 
 
+def _feature_values() -> str:
+    raw = len(segment.NUMBERS) + 2 + len(fees.PRODUCTS)
+    return ", ".join([*(f"z{i} / n" for i in range(raw)), *(f"(mcc_group = '{g}')::int::double" for g in fees.GROUPS)])
+
+
 @query("m03_feature_space", _features_sql())
 def _(spark, d):
     space = segment.feature_space(_profile(spark, d))
@@ -716,7 +721,23 @@ def _(spark, d):
 
 @query("m05_k_means")
 def _(spark, d):
-    return segment.k_means(segment.feature_space(_profile(spark, d)), ks=(4, 6), starts=2)[0]
+    return kmeans.k_means(segment.feature_space(_profile(spark, d)))[0]
+
+
+def _silhouette_sql() -> str:
+    return _features_sql().rpartition("\nselect ")[0] + f""",
+points as (select merchant_id, list(value order by dim) as v, any_value(g) as g from (select merchant_id, mcc_group as g, unnest(range({len(segment.NUMBERS) + 2 + len(fees.PRODUCTS) + len(fees.GROUPS)})) as dim, unnest([{_feature_values()}]) as value from z, norm) q group by merchant_id),
+chosen as (select * from points order by {HASHED('merchant_id', 'sample')}, merchant_id limit {kmeans.SAMPLE}),
+far as (select a.merchant_id, any_value(a.g) as own, b.g, sum(list_distance(a.v, b.v)) as s, count(*) as n from chosen a, chosen b group by a.merchant_id, b.g),
+each as (select merchant_id, sum(s / (n - 1)) filter (own = g and n > 1) as a, min(s / n) filter (own <> g) as b from far group by merchant_id)
+select round(avg(coalesce((b - a) / greatest(a, b), 0)), 8) as silhouette from each"""
+
+
+@query("m06_silhouette", _silhouette_sql())
+def _(spark, d):
+    p = _kept_profile(spark, d)
+    value = kmeans.silhouette(segment.feature_space(p), segment.group_segments(p))
+    return spark.createDataFrame([(None if value is None else round(value, 8),)], "silhouette double")
 
 
 @query("m02_spectral_embedding")
@@ -1051,8 +1072,33 @@ def _(spark, d):
     attributes = segment.feature_space(p)
     blocks = F.array(*((F.col("size_tier") == t).cast("double") for t, _ in fees.TIERS))
     tiers = p.select("merchant_id", blocks.alias("vector"))
-    both = attributes.withColumnRenamed("vector", "a").join(tiers.withColumnRenamed("vector", "b"), "merchant_id").select("merchant_id", F.concat("a", "b").alias("vector"))
-    return segment.marginal_information(p, {"attributes": attributes, "tiers": tiers, "both": both}, "attributes")
+    both = lambda a, b: a.withColumnRenamed("vector", "a").join(b.withColumnRenamed("vector", "b"), "merchant_id")
+    tied = kept(_merchant_embedding(spark, d), "embedding")
+    spaces = {
+        "attributes": attributes, "tiers": tiers, "both": both(attributes, tiers).select("merchant_id", F.concat("a", "b").alias("vector")),
+        "graph": tied, "attributes and graph": segment.combine(both(attributes, tied), "a", "b"),
+    }
+    return segment.marginal_information(p, spaces, "attributes")
+
+
+def _merchant_pairs(spark, d):
+    return graph.collapse(marts.graph_edges(fact(spark, d)))
+
+
+def _merchant_embedding(spark, d):
+    return spectral.embedding(graph.ppmi(_merchant_pairs(spark, d)))
+
+
+@query("m11_compare_spaces")
+def _(spark, d):
+    # the segmentations themselves: clusters of attributes, of the graph's vectors, of both, and the graph's communities
+    p = _kept_profile(spark, d)
+    attributes, tied = kept(segment.feature_space(p), "attributes"), kept(_merchant_embedding(spark, d), "embedding")
+    hybrid = segment.combine(attributes.withColumnRenamed("vector", "a").join(tied.withColumnRenamed("vector", "b"), "merchant_id"), "a", "b")
+    found = {"k_means": kmeans.k_means(attributes), "graph": kmeans.k_means(tied), "hybrid": kmeans.k_means(hybrid)}
+    methods = {"mcc_group": segment.group_segments(p), **{name: kept(labels, name) for name, (labels, _) in found.items()}}
+    methods["communities"] = kept(communities.merchant_communities(graph.projection(_merchant_pairs(spark, d), least=2), p), "communities")
+    return segment.compare(p, methods, silhouettes={name: max(scores.values()) for name, (_, scores) in found.items()}).drop("nmi_clientele")
 
 
 @query("m16_sweep", over_fact("select method, max(r2) filter (k = 2) as k2, max(r2) filter (k = 4) as k4, max(r2) filter (k = 12) as k12 from (" + " union all ".join(f"select '{m}' as method, {k} as k, r2 from ({PREDICTED.replace('tested', f'{m}_{k}')}) q{n}" for n, (m, k) in enumerate((("groups", 12), ("groups", 4), ("tiers", 4), ("tiers", 2)))) + ") u group by method", PROFILE, *(f"{m}_{k} as (select p.*, ({labels})::int as segment, row_number() over (order by {HASHED('merchant_id', 'test')}, merchant_id) <= greatest(1, round(0.3 * count(*) over ())) as test from profile p join groups using (mcc_group))" for m, k, labels in (("groups", 12, "pos"), ("groups", 4, "pos % 4"), ("tiers", 4, TIER), ("tiers", 2, f"({TIER}) % 2")))))

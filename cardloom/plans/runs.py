@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import acceptance, communities, expectations, graph, links, marts, profile, segment, waterfall
+from ..operators import acceptance, communities, expectations, graph, kmeans, links, marts, profile, segment, waterfall
 from ..sources import bridge, fees
 from ..sources.tables import read_raw
 
@@ -40,7 +40,7 @@ def run_segmentation(fact: DataFrame, merchants: DataFrame, folder: str, least:
     if p.limit(2).count() < 2:
         raise ValueError("too few merchants to segment")
     p = _write({"profile": p}, folder)["profile"]
-    methods = {"mcc_group": segment.group_segments(p), "k_means": segment.k_means(segment.feature_space(p), ks=(4, 6))[0]}
+    methods = {"mcc_group": segment.group_segments(p), "k_means": kmeans.k_means(segment.feature_space(p))[0]}
     methods["communities"] = communities.merchant_communities(graph.projection(graph.collapse(marts.graph_edges(fact))), p.select("merchant_id"))
     return _write({"segments": segment.side_by_side(p, methods), "comparison": segment.compare(p, methods), "segment_profiles": profile.segment_profile(p.join(methods["k_means"], "merchant_id"), "segment")}, folder)
 
