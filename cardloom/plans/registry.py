@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import acceptance, affinity, communities, expectations, generate, graph, graphsage, kmeans, links, marts, pnl, profile, segment, shapley, spectral, waterfall
+from ..operators import acceptance, affinity, communities, expectations, generate, graph, graphsage, kmeans, links, marts, pnl, profile, segment, shapley, spectral, trees, waterfall
 from ..sources import bridge, contract, fees, rules, warehouse
 from ..sources.scratch import kept, shared
 from .oracle import FACT, over_fact, over_tables
@@ -753,13 +753,9 @@ def _(spark, d):
 
 @query("m12_tree_segments")
 def _(spark, d):
-    space = segment.feature_space(_profile(spark, d))
-    sample = space.join(segment.split_test(_profile(spark, d)).where(~F.col("test")).select("merchant_id", "relative_burden"), "merchant_id")
-    rows = sample.orderBy(money.hashed_uniform(F.col("merchant_id").cast("string"), "tree"), "merchant_id").limit(20_000).collect()
-    import numpy as np
-
-    tree = segment.grow_tree(np.array([r["vector"] for r in rows]), np.array([r["relative_burden"] for r in rows]), 8)
-    return segment.tree_segments(space, tree)
+    space = kept(segment.feature_space(_profile(spark, d)), "space")
+    train = segment.split_test(_profile(spark, d)).where(~F.col("test")).select("merchant_id", F.col("relative_burden").alias("y"))
+    return trees.segments(space, trees.grow(space.join(train, "merchant_id"), 8))
 
 
 # Acceptance
