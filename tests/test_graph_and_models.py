@@ -55,6 +55,44 @@ def test_verdicts_of_spaces():
     assert segment.compare_verdict(0.5, 0.4) == "adds information" and segment.compare_verdict(0.1, 0.4) == "tells less"
 
 
+def solved(rows, level):
+    """Slope and intercepts by nested bisection over all rows (group, term, shift)."""
+    data = {g: np.array([(t, s) for h, t, s in rows if h == g]).T for g in level}
+    curve = lambda x: np.clip(1 / (1 + np.exp(-np.clip(x, -500, 500))), fees.LOWEST, fees.HIGHEST)
+
+    def root(f, low, high):
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if f(middle) < 0 else (low, middle)
+        return (low + high) / 2
+
+    def intercepts(slope):
+        return {g: root(lambda a: curve(a + slope * t + s).mean() - level[g], -60 - slope * t.max(), 60.0) for g, (t, s) in data.items()}  # noqa: B023
+
+    def rise(slope):
+        alpha = intercepts(slope)
+        return sum((curve(alpha[g] + slope * (1 + fees.SHOCK) * t + s) - curve(alpha[g] + slope * t + s)).sum() for g, (t, s) in data.items()) / len(rows)
+
+    slope = root(lambda b: rise(b) - fees.SEMI_ELASTICITY, 0.0, 200.0)
+    return slope, intercepts(slope)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.001"])
+def test_calibration_over_all_merchants(spark, folder, monkeypatch):
+    from cardloom.plans import registry
+
+    passes, tried = [], acceptance._tried
+    monkeypatch.setattr(acceptance, "_tried", lambda inputs, points: passes.append(len(points)) or tried(inputs, points))
+    inputs = registry._inputs(spark, folder)
+    targets = acceptance.level_targets(inputs)
+    curve = acceptance.calibrate(inputs, targets)
+    slope, alpha = solved([tuple(r) for r in inputs.select("mcc_group", "term", "shift").collect()], {r["mcc_group"]: r["target"] for r in targets.collect()})
+    assert curve.slope == pytest.approx(slope, abs=1e-8) and curve.intercepts == pytest.approx(alpha, abs=1e-8)
+    assert len(passes) <= 12
+    with pytest.raises(ValueError, match="shares of groups"):
+        acceptance.calibrate(inputs, targets.withColumn("target", F.lit(1.5)))
+
+
 def test_calibration_meets_its_anchors(spark):
     draw = random.Random(2)
     rows = [(k, g, draw.uniform(0.1, 0.4), draw.uniform(0, 0.3), 1000.0, draw.uniform(0.1, 0.4)) for k, g in enumerate(list(fees.GROUPS) * 50)]
