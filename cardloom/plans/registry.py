@@ -63,9 +63,36 @@ _simple("p02_issuers", bridge.issuers, over_tables("select * from issuers"))
 _simple("p02_acquirers", bridge.acquirers, over_tables("select * from acquirers"))
 _simple("e24_mccs", bridge.mccs, over_tables("select * from mccs"))
 _simple("e24_pricing_terms", lambda s, d: fees.pricing_terms(bridge.acquirers(s, d)), over_tables(f"select acquirer_id, {fees.MARKUP_RATE}::double as icpp_markup_rate, {fees.MARKUP_FIXED}::double as icpp_markup_fixed_cop, {fees.BLENDED_CROSS_BORDER}::double as blended_cross_border_rate from acquirers"))
-_simple("e24_network_fees", lambda s, d: fees.network_fees(s), "select " + ", ".join(f"{v}::double as {side}_{n}" for side, vs in fees.NETWORK.items() for n, v in zip(("assessment_rate", "authorization_fee_cop", "cross_border_rate"), vs, strict=True)))
-_simple("e01_interchange_grid", lambda s, d: fees.grid(s).withColumn("open_ended", F.col("valid_to").isNull()).drop("valid_to"), over_tables("select * exclude (valid_to), valid_to is null as open_ended from grid"))
-_simple("e02_one_cell", lambda s, d: s.createDataFrame([fees.cell(fees.grid(s).drop("valid_from", "valid_to"), "debit", "grocery", "cp", "domestic")]), over_tables("select * exclude (valid_from, valid_to) from grid where product = 'debit' and mcc_group = 'grocery' and channel = 'cp' and region = 'domestic'"))
+
+
+
+CELL_N = "cell_n as (select product, mcc_group, channel, if(cross_border, 'cross_border', 'domestic') as region, count(*) as n_txns from tx group by all)"
+
+
+def _cell_counts(spark, d):
+    """Purchases of each cell of the interchange grid that has some."""
+    return bridge.transactions(spark, d).withColumn("region", money.region()).groupBy(*fees.CELL).agg(F.count("*").alias("n_txns"))
+
+
+@query("e01_interchange_grid", over_tables("select grid.* exclude (valid_to), valid_to is null as open_ended, coalesce(n_txns, 0) as n_txns from grid left join cell_n using (product, mcc_group, channel, region)", CELL_N))
+def _(spark, d):
+    grid = fees.grid(spark).withColumn("open_ended", F.col("valid_to").isNull()).drop("valid_to")
+    return rounded(grid.join(_cell_counts(spark, d), list(fees.CELL), "left").fillna(0, ["n_txns"]))
+
+
+@query("e02_one_cell", over_tables("select distinct merchant_id, g.* exclude (valid_from, valid_to) from tx join grid g on g.product = tx.product and g.mcc_group = tx.mcc_group and g.channel = tx.channel and g.region = if(cross_border, 'cross_border', 'domestic') where merchant_id % 10 = 3"))
+def _(spark, d):
+    # the cells that some merchants' purchases are priced by
+    cells = bridge.transactions(spark, d).where("merchant_id % 10 = 3").withColumn("region", money.region()).select("merchant_id", *fees.CELL).distinct()
+    return rounded(cells.join(F.broadcast(fees.grid(spark).drop("valid_from", "valid_to")), list(fees.CELL)))
+
+
+@query("e24_network_fees", over_tables("select cross_border, count(*) as n_txns, " + ", ".join(f"any_value({v}::double) as {side}_{n}" for side, vs in fees.NETWORK.items() for n, v in zip(("assessment_rate", "authorization_fee_cop", "cross_border_rate"), vs, strict=True)) + ", round(sum(amount_cop * " + str(sum(v[0] for v in fees.NETWORK.values())) + "), 4) as assessed_cop from tx group by cross_border"))
+def _(spark, d):
+    # what purchases at home and abroad are charged, and what the assessments of both sides come to
+    sums = bridge.transactions(spark, d).groupBy("cross_border").agg(F.count("*").alias("n_txns"), F.sum(money.amount()).alias("_v"))
+    assessed = (F.col("_v") * (F.col("issuer_assessment_rate") + F.col("acquirer_assessment_rate"))).alias("assessed_cop")
+    return rounded(sums.join(F.broadcast(fees.network_fees(spark)), F.lit(True)).select("cross_border", "n_txns", *fees.network_fees(spark).columns, assessed))  # one row of fees
 
 
 @query("s04_projected_scan", over_fact("select merchant_id, cardholder_id, amount_cop, round(interchange_cop, 4) as interchange_cop, round(mdr_cop, 4) as mdr_cop, channel, cross_border, product from fct"))
@@ -111,10 +138,12 @@ def _(spark, d):
     return rounded(out.withColumn("repriced", F.col("txn_month").isin(months)))
 
 
-@query("p13_duplicate_cells", over_tables("select product, mcc_group, channel, region, count(*) as count from (select * from grid union all select * from grid where product = 'debit') g group by all having count(*) > 1"))
+@query("p13_duplicate_cells", over_tables("select product, mcc_group, channel, region, count(*) as count, coalesce(any_value(n_txns), 0) as n_txns from (select product, mcc_group, channel, region from grid union all select product, mcc_group, channel, region from grid where product = 'debit') g left join cell_n using (product, mcc_group, channel, region) group by all having count(*) > 1", CELL_N))
 def _(spark, d):
+    # cells that stand twice, and how many purchases each of them would double
     g = fees.grid(spark)
-    return waterfall.duplicate_cells(g.unionByName(g.where("product = 'debit'")))
+    twice = waterfall.duplicate_cells(g.unionByName(g.where("product = 'debit'")))
+    return twice.join(_cell_counts(spark, d), list(fees.CELL), "left").fillna(0, ["n_txns"])
 
 
 @query("p15_one_year", over_fact("select count(*) as n_txns, round(sum(mdr_cop), 4) as mdr_cop from fct where year(txn_date) = 1999"))
@@ -771,9 +800,10 @@ def _intercepts(spark):
     return spark.createDataFrame([(g, -4.0 - 0.1 * k) for k, g in enumerate(fees.GROUPS)], "mcc_group string, intercept double")
 
 
-@query("l01_sensitivity", over_tables("select mcc_group, round(base_elasticity / (select median(base_elasticity) from groups), 10) as group_sensitivity from groups"))
+@query("l01_sensitivity", over_tables("select mcc_group, round(base_elasticity / (select median(base_elasticity) from groups), 10) as group_sensitivity, count(*) as merchants from groups join merchants using (mcc_group) group by mcc_group, base_elasticity"))
 def _(spark, d):
-    return rounded(acceptance.sensitivity(fees.groups(spark)))
+    n = bridge.merchants(spark, d).groupBy("mcc_group").agg(F.count("*").alias("merchants"))
+    return rounded(acceptance.sensitivity(fees.groups(spark)).join(n, "mcc_group"))
 
 
 @query("l02_curve_inputs", over_fact("select merchant_id, round(term, 10) as term, round(shift, 10) as shift from inputs", PROFILE, INPUTS))
@@ -984,9 +1014,13 @@ def _(spark, d):
     return bridge.merchants(spark, d).groupBy("size_tier").agg(F.count("*").alias("n"), F.min("size_weight").alias("least"), F.max("size_weight").alias("most"))
 
 
-@query("g32_day_weights", "select d::date as day, round([0.90, 0.92, 0.97, 0.96, 1.00, 1.04, 1.02, 0.99, 0.98, 1.00, 1.06, 1.30][month(d)]::double * pow(1.19, year(d) - 2024) * if(day(d) in (1, 14, 15, 16, 29, 30, 31), 1.15, 1) * [0.90, 0.90, 0.95, 1.00, 1.10, 1.30, 1.05][isodow(d)]::double, 10) as weight from (select unnest(generate_series(timestamp '2024-01-01', timestamp '2025-12-31', interval 1 day)) as d) x")
+@query("g32_day_weights", over_tables("select d::date as day, round([0.90, 0.92, 0.97, 0.96, 1.00, 1.04, 1.02, 0.99, 0.98, 1.00, 1.06, 1.30][month(d)]::double * pow(1.19, year(d) - (select year(min(txn_date)) from tx)) * if(day(d) in (1, 14, 15, 16, 29, 30, 31), 1.15, 1) * [0.90, 0.90, 0.95, 1.00, 1.10, 1.30, 1.05][isodow(d)]::double, 10) as weight, coalesce(n, 0) as n_txns from (select unnest(generate_series(min(txn_date)::timestamp, max(txn_date)::timestamp, interval 1 day)) as d from tx) x left join (select txn_date, count(*) as n from tx group by all) t on t.txn_date = d::date"))
 def _(spark, d):
-    return rounded(generate.day_weights(spark, "2024-01-01", "2025-12-31"))
+    # the weights of the days that purchases span, beside the purchases of each
+    t = kept(bridge.transactions(spark, d).groupBy(F.col("txn_date").alias("day")).agg(F.count("*").alias("n_txns")), "days")
+    first, last = t.agg(F.min("day"), F.max("day")).first()
+    weights = generate.day_weights(spark, str(first), str(last)).withColumn("weight", F.round("weight", 10))
+    return weights.join(t, "day", "left").fillna(0, ["n_txns"])
 
 
 @query("g35_on_us", over_tables("select c.issuer_id, count(*) filter (i.bank_group = a.bank_group) as same_group, count(*) as n from tx c join issuers i using (issuer_id) join acquirers a using (acquirer_id) group by c.issuer_id"))
@@ -1005,8 +1039,11 @@ def _(spark, d):
 
 @query("g33_generated_purchases")
 def _(spark, d):
-    cards, shops = generate.cardholders(spark, 500, "q"), generate.merchants(spark, 200, "q")
-    return generate.purchases(spark, 5_000, cards, shops, "q")
+    # as many purchases as there are, by the given cardholders' activity and the given merchants' size
+    t = bridge.transactions(spark, d)
+    activity = kept(t.groupBy("cardholder_id").agg(F.count("*").cast("double").alias("activity")), "activity")
+    cards = bridge.cardholders(spark, d).join(activity, "cardholder_id")
+    return generate.purchases(spark, int(activity.agg(F.sum("activity")).first()[0] or 0), cards, bridge.merchants(spark, d), "q")
 
 
 _boosts = ", ".join(f"('{s}', '{g}', {w * affinity.BOOSTS[s].get(g, 1.0)!r}::double)" for s in affinity.LIFESTYLES for g, w in zip(fees.GROUPS, generate.GROUP_MIX, strict=True))
@@ -1014,20 +1051,33 @@ _mixes = ", ".join(f"('{p}', '{s}', {x!r}::double, {generate.PRODUCT_MIX[p]!r}::
 AFFINITY = f"""with boosts(segment, mcc_group, w) as (select * from (values {_boosts}) v), mixes(product, segment, x, p) as (select * from (values {_mixes}) v),
 prototypes as (select segment, mcc_group, w / sum(w) over (partition by segment) as share from boosts), shares as (select segment, sum(x * p) as share from mixes group by segment),
 clienteles as (select mcc_group, segment, a.share * b.share / sum(a.share * b.share) over (partition by mcc_group) as share from prototypes a join shares b using (segment)) """
-_simple("g22_prototypes", lambda s, d: affinity.prototypes(s), AFFINITY + "select segment, mcc_group, round(share, 10) as share from prototypes")
-_simple("g23_segment_shares", lambda s, d: affinity.segment_shares(s), AFFINITY + "select segment, round(share, 10) as share from shares")
-_simple("g24_clienteles", lambda s, d: affinity.clienteles(s), AFFINITY + "select mcc_group, segment, round(share, 10) as share from clienteles")
+def _with_merchants(spark, d, table):
+    """A table by group with the merchants of each group."""
+    return table.join(bridge.merchants(spark, d).groupBy("mcc_group").agg(F.count("*").alias("merchants")), "mcc_group")
+
+
+_SHOPS = "(select p_brand, (cast(substr(p_brand, 7) as int) % 12) as pos from part)"
+_NAMES = "(values " + ", ".join(f"({k}, '{g}')" for k, g in enumerate(fees.GROUPS)) + ") v(pos, mcc_group)"
+_BY_GROUP = f"(select mcc_group, count(*) as merchants from {_SHOPS} s join (select * from {_NAMES}) using (pos) group by mcc_group) m using (mcc_group)"
+_simple("g22_prototypes", lambda s, d: _with_merchants(s, d, affinity.prototypes(s)), AFFINITY + f"select segment, mcc_group, round(share, 10) as share, merchants from prototypes join {_BY_GROUP}")
+_simple("g24_clienteles", lambda s, d: _with_merchants(s, d, affinity.clienteles(s)), AFFINITY + f"select mcc_group, segment, round(share, 10) as share, merchants from clienteles join {_BY_GROUP}")
+
+
+@query("g23_segment_shares", AFFINITY + "select segment, round(share, 10) as share, round(share * (select count(*) from customer), 6) as expected_cards from shares")
+def _(spark, d):
+    n = bridge.cardholders(spark, d).count()
+    return rounded(affinity.segment_shares(spark)).withColumn("expected_cards", F.round(F.col("share") * F.lit(float(n)), 6))
 
 
 @query("g28_favorites")
 def _(spark, d):
-    shops = affinity.with_clientele(generate.merchants(spark, 400, "f"), "f")
-    return affinity.favorites(affinity.with_lifestyle(generate.cardholders(spark, 200, "f"), "f"), shops, "f")
+    shops = affinity.with_clientele(bridge.merchants(spark, d), "f")
+    return affinity.favorites(affinity.with_lifestyle(bridge.cardholders(spark, d), "f"), shops, "f")
 
 
 @query("g25_preferences")
 def _(spark, d):
-    return affinity.preferences(affinity.with_lifestyle(generate.cardholders(spark, 200, "f"), "f")).select("cardholder_id", F.explode("preference").alias("mcc_group", "share"))
+    return affinity.preferences(affinity.with_lifestyle(bridge.cardholders(spark, d), "f")).select("cardholder_id", F.explode("preference").alias("mcc_group", "share"))
 
 
 @query("g39_shuffled_modularity")
