@@ -945,7 +945,7 @@ _WEIGHT = " + ".join(f"(u >= {c!r})::int" for c in links.POISSON)
     "select round((select avg(gap) from gaps), 10) as gap, round(quantile_cont(mean, 0.025), 10) as low, round(quantile_cont(mean, 0.975), 10) as high from means", EDGES, SPLIT, SUPPLIER_GROUPS,
     "by_group" + _top(f"select cardholder_id, merchant_id, round(score, 12) as score from ({GROUPED}) g").removeprefix("top"), "by_chance" + _top(RANDOM).removeprefix("top"),
     f"gaps as (select cardholder_id, a.recall - b.recall as gap from {_recalls('by_group')} a join {_recalls('by_chance')} b using (cardholder_id))",
-    f"means as (select draw, sum(gap * ({_WEIGHT})) / sum({_WEIGHT}) as mean from (select gap, draw, {_DRAW} as u from gaps, (select unnest(range(1, 2001)) as draw) k) x group by draw)",
+    f"means as (select draw, sum(gap * ({_WEIGHT})) / nullif(sum({_WEIGHT}), 0) as mean from (select gap, draw, {_DRAW} as u from gaps, (select unnest(range(1, 2001)) as draw) k) x group by draw)",
 ))
 def _(spark, d):
     s = links.temporal_split(_edges(spark, d))
@@ -1014,12 +1014,12 @@ def _(spark, d):
     return bridge.merchants(spark, d).groupBy("size_tier").agg(F.count("*").alias("n"), F.min("size_weight").alias("least"), F.max("size_weight").alias("most"))
 
 
-@query("g32_day_weights", over_tables("select d::date as day, round([0.90, 0.92, 0.97, 0.96, 1.00, 1.04, 1.02, 0.99, 0.98, 1.00, 1.06, 1.30][month(d)]::double * pow(1.19, year(d) - (select year(min(txn_date)) from tx)) * if(day(d) in (1, 14, 15, 16, 29, 30, 31), 1.15, 1) * [0.90, 0.90, 0.95, 1.00, 1.10, 1.30, 1.05][isodow(d)]::double, 10) as weight, coalesce(n, 0) as n_txns from (select unnest(generate_series(min(txn_date)::timestamp, max(txn_date)::timestamp, interval 1 day)) as d from tx) x left join (select txn_date, count(*) as n from tx group by all) t on t.txn_date = d::date"))
+@query("g32_day_weights", over_tables("select d::date as day, round([0.90, 0.92, 0.97, 0.96, 1.00, 1.04, 1.02, 0.99, 0.98, 1.00, 1.06, 1.30][month(d)]::double * pow(1.19, year(d) - (select year(min(txn_date)) from tx)) * if(day(d) in (1, 14, 15, 16, 29, 30, 31), 1.15, 1) * [0.90, 0.90, 0.95, 1.00, 1.10, 1.30, 1.05][isodow(d)]::double + 1e-12, 10) as weight, coalesce(n, 0) as n_txns from (select unnest(generate_series(min(txn_date)::timestamp, max(txn_date)::timestamp, interval 1 day)) as d from tx) x left join (select txn_date, count(*) as n from tx group by all) t on t.txn_date = d::date"))
 def _(spark, d):
-    # the weights of the days that purchases span, beside the purchases of each
+    # decimals that end in 5 are moved off the edge of rounding; the weights of the days that purchases span, beside the purchases of each
     t = kept(bridge.transactions(spark, d).groupBy(F.col("txn_date").alias("day")).agg(F.count("*").alias("n_txns")), "days")
     first, last = t.agg(F.min("day"), F.max("day")).first()
-    weights = generate.day_weights(spark, str(first), str(last)).withColumn("weight", F.round("weight", 10))
+    weights = generate.day_weights(spark, str(first), str(last)).withColumn("weight", F.round(F.col("weight") + 1e-12, 10))
     return weights.join(t, "day", "left").fillna(0, ["n_txns"])
 
 
