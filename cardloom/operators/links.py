@@ -79,6 +79,13 @@ def restrict(split: dict[str, DataFrame], scorable: DataFrame) -> dict[str, Data
     return split | {"candidates": candidates, "positives": positives, "cardholders": positives.select("cardholder_id").distinct()}
 
 
+def vector_scores(split: dict[str, DataFrame], cards: DataFrame, merchants: DataFrame) -> DataFrame:
+    """The product of the vectors (id, vector) of each evaluated cardholder and candidate; both are capped by the split."""
+    mine = split["cardholders"].join(cards.withColumnRenamed("id", "cardholder_id"), "cardholder_id").withColumnRenamed("vector", "u")
+    theirs = split["candidates"].select("merchant_id").join(merchants.withColumnRenamed("id", "merchant_id"), "merchant_id").withColumnRenamed("vector", "v")
+    return mine.join(F.broadcast(theirs)).select("cardholder_id", "merchant_id", money.dot(F.col("u"), F.col("v")).alias("score"))  # candidates are capped
+
+
 def top_k(scores: DataFrame, split: dict[str, DataFrame], k: int = 10) -> DataFrame:
     """The k best new candidates of each cardholder, ties by the smaller merchant; pairs of training don't compete."""
     fresh = scores.join(split["train"].select("cardholder_id", "merchant_id"), ["cardholder_id", "merchant_id"], "left_anti")

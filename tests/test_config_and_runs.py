@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import graphsage
+from cardloom.operators import graphsage, marts
 from cardloom.plans import runs
-from cardloom.sources import bridge, config
+from cardloom.sources import bridge, config, fees
 
 
 def change(path, value):
@@ -56,8 +56,20 @@ def test_runs(spark, small, tmp_path):
     fact = tables["fct_transactions"]
     assert fact.count() == 6_000 and tables["mart_pnl_by_actor"].count() > 0
     shops = bridge.merchants(spark, small)
-    out = runs.run_segmentation(fact, shops, str(tmp_path / "s"))
-    assert out["comparison"].count() == 3 and out["segments"].columns == ["merchant_id", "mcc_group", "k_means", "communities"]
+    out = runs.run_segmentation(fact, shops, str(tmp_path / "s"), leaves=3, dims=4, ks=(4, 5), starts=2)
+    assert out["segments"].columns == ["merchant_id", "mcc_group", "k_means", "graph", "hybrid", "communities", "supervised"] and out["comparison"].count() >= 5
+    assert out["embeddings"].count() <= out["profile"].count() == out["segments"].count() and out["rules"].count() == out["segment_profiles"].count() <= 3
+    assert {r["space"] for r in out["marginal"].collect()} == {"attributes", "graph", "hybrid"}
     vectors = bridge.read(spark, small, "embeddings").select((F.col("vec_id") + 1).alias("merchant_id"), F.col("embedding").cast("array<double>").alias("vector")).where("merchant_id <= 150")
-    moved = runs.run_elasticity(fact, shops, vectors, str(tmp_path / "e"))
-    assert moved["leakage"].first()["leaked"] > 0
+    moved = runs.run_elasticity(fact, shops, vectors, str(tmp_path / "e"), cardholders=bridge.cardholders(spark, small))
+    assert moved["leakage"].first()["leaked"] > 0 and moved["curve"].first()["abandonment"] == pytest.approx(fees.ABANDONMENT)
+    assert moved["curve_groups"].count() == 12 and moved["acceptance"].count() == moved["response"].count() and moved["cardholder_response"].count() == bridge.cardholders(spark, small).count()
+
+
+def test_link_prediction_run(spark, small, tmp_path):
+    purchases = bridge.transactions(spark, small).withColumn("txn_month", F.trunc("txn_date", "MM"))
+    groups = bridge.read(spark, small, "supplier").select(F.col("s_suppkey").alias("merchant_id"), bridge.by_number((F.col("s_suppkey") % 12).cast("int"), fees.GROUPS).alias("mcc_group"))
+    out = runs.run_link_prediction(marts.graph_edges(purchases, "shop_id"), groups, bridge.cardholders(spark, small), str(tmp_path), dims=4, draws=50, epochs=4)
+    found = {r["method"]: r["recall_at_k"] for r in out["link_prediction"].collect()}
+    assert set(found) == {"random", "popularity", "group_popularity", "svd", "sage"} and all(0 <= x <= 1 for x in found.values())
+    assert out["link_prediction_gaps"].count() == 5 and out["graphsage_losses"].where("is_best").count() == 1
