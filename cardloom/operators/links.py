@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import money
 from ..sources import fees
 from ..sources.scratch import kept
+from . import nearest
 from .graph import collapse
 
 
@@ -158,36 +157,9 @@ def verdict(gap: float, low: float, high: float) -> str:
     return "beats" if low > 0 else "falls short" if high < 0 else "cannot be told apart"
 
 
-def substitutes(vectors: DataFrame, top: int = 10, block: int = 1_024) -> DataFrame:
-    """merchant_id, substitute_id, similarity, rank: the `top` nearest others by cosine, ties by the smaller id.
-
-    Blocks of `block` rows meet pairwise; each task multiplies two blocks and keeps the best of its own, so what is
-    shuffled grows with blocks times rows times top and no task holds more than two blocks.
-    """
-    n = vectors.count()
-    if n <= top:
-        raise ValueError("as many substitutes as merchants")
-    blocks = -(-n // block)
-    unit = vectors.select("merchant_id", F.transform("vector", lambda x: x / F.greatest(money.norm(F.col("vector")), F.lit(1e-12))).alias("vector"))
-    mine = F.pmod(F.xxhash64("merchant_id"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = unit.withColumn("i", mine).withColumn("j", other).withColumn("role", F.lit(0))
-    index = unit.withColumn("j", mine).withColumn("i", other).withColumn("role", F.lit(1))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, x = pdf[pdf.role == 0].sort_values("merchant_id"), pdf[pdf.role == 1].sort_values("merchant_id")
-        ids, names = q.merchant_id.to_numpy(), x.merchant_id.to_numpy()
-        if not len(ids) or not len(names):
-            return pd.DataFrame({"merchant_id": [], "substitute_id": [], "similarity": []})
-        s = np.stack(q.vector.to_numpy()) @ np.stack(x.vector.to_numpy()).T
-        s[ids[:, None] == names[None, :]] = -np.inf
-        k = min(top, len(names))
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"merchant_id": np.repeat(ids, k), "substitute_id": names[order].ravel(), "similarity": np.take_along_axis(s, order, 1).ravel()})
-
-    found = asked.unionByName(index).groupBy("i", "j").applyInPandas(best, "merchant_id bigint, substitute_id bigint, similarity double")
-    rank = F.row_number().over(W.partitionBy("merchant_id").orderBy(F.desc("similarity"), "substitute_id"))
-    return found.where(F.col("similarity") > -2).withColumn("rank", rank).where(F.col("rank") <= top)
+def substitutes(vectors: DataFrame, top: int = 10, block: int = nearest.BLOCK) -> DataFrame:
+    """merchant_id, substitute_id, similarity, rank: the `top` nearest others by cosine, ties by the smaller id."""
+    return nearest.search(vectors, top, block).found
 
 
 def redistribute(lost: DataFrame, near: DataFrame, leak: float = fees.LEAKAGE) -> DataFrame:
