@@ -60,6 +60,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def unit(a: Column | str) -> Column:
+    """The vector by its length, which is worked out once a row; a zero vector stays zero."""
+    a = F.col(a) if isinstance(a, str) else a
+    return F.zip_with(a, F.array_repeat(F.greatest(norm(a), F.lit(1e-12)), F.size(a)), lambda x, n: x / n)
+
+
 def hashed_uniform(*parts) -> Column:
     """A uniform number from the first 32 bits of the parts' MD5: the same in any engine and partitioning."""
     key = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import ranked
+from ..sources.scratch import ranked, running
 
 
 def last_months(edges: DataFrame, n: int) -> DataFrame:
@@ -92,11 +92,10 @@ def nmi(labelled: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def top_share(values: DataFrame, column: str, fraction: float) -> DataFrame:
-    """Share of the total in the ceil(fraction * n) largest values. Values are counted before they are ordered."""
+    """Share of the total in the ceil(fraction * n) largest values. Values are counted before they are ordered, in ranges."""
     counts = values.groupBy(column).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col(column)).alias("sum"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(F.desc(column)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    took = counts.withColumn("before", before).crossJoin(F.broadcast(total))
+    took = running(counts, F.desc(column), upto=F.col("n")).withColumn("before", F.col("upto") - F.col("n")).crossJoin(F.broadcast(total))
     take = F.greatest(F.lit(0), F.least(F.col("n"), F.ceil(F.lit(fraction) * F.col("rows")) - F.col("before")))
     return took.agg((F.sum(take * F.col(column)) / F.first("sum")).alias("top_share"))
 

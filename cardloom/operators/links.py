@@ -64,10 +64,9 @@ def embedding_scores(split: dict[str, DataFrame], vectors: DataFrame, dims: int)
     """Cosine of each evaluated cardholder's profile and each candidate's vector; candidates without a vector raise."""
     if split["candidates"].join(vectors, "merchant_id", "left_anti").limit(1).count():
         raise ValueError("a candidate has no vector")
-    unit = lambda c: F.transform(c, lambda x: x / F.greatest(money.norm(F.col(c)), F.lit(1e-12)))
     cards = cardholder_vectors(split["train"].join(split["cardholders"], "cardholder_id", "left_semi"), vectors, dims)
-    shops = split["candidates"].join(vectors, "merchant_id").select("merchant_id", unit("vector").alias("b"))
-    grid = cards.select("cardholder_id", unit("vector").alias("a")).join(F.broadcast(shops))  # candidates are capped
+    shops = split["candidates"].join(vectors, "merchant_id").select("merchant_id", money.unit("vector").alias("b"))
+    grid = cards.select("cardholder_id", money.unit("vector").alias("a")).join(F.broadcast(shops))  # candidates are capped
     return grid.select("cardholder_id", "merchant_id", money.dot(F.col("a"), F.col("b")).alias("score"))
 
 

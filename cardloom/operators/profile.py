@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.fees import PRODUCTS
+from ..sources.scratch import running
 from ..sources.tables import require
 
 NEEDED = ("merchant_id", "cardholder_id", "amount_cop", "interchange_cop", "mdr_cop", "channel", "cross_border", "product")
@@ -81,11 +82,10 @@ def nearest_quantile(df: DataFrame, group: str, value: str, point: float) -> Dat
 
 
 def lorenz(profile: DataFrame, value: str = "gdv_cop", buckets: int = 20) -> DataFrame:
-    """Cumulative share of merchants and of value, ascending, at `buckets` cuts."""
+    """Cumulative share of merchants and of value, ascending, at `buckets` cuts; different values are summed in ranges."""
     counts = profile.groupBy(value).agg(F.count("*").alias("n"))
-    up = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     total = counts.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col(value)).alias("sum"))
-    run = counts.select("n", F.sum("n").over(up).alias("upto"), F.sum(F.col("n") * F.col(value)).over(up).alias("value_upto")).crossJoin(F.broadcast(total))
+    run = running(counts, F.asc(value), upto=F.col("n"), value_upto=F.col("n") * F.col(value)).crossJoin(F.broadcast(total))
     bucket = F.ceil(F.col("upto") / F.col("rows") * buckets).cast("int")
     out = run.select(bucket.alias("bucket"), (F.col("upto") / F.col("rows")).alias("merchants"), (F.col("value_upto") / F.col("sum")).alias("value"))
     return out.groupBy("bucket").agg(F.max("merchants").alias("merchant_share"), F.max("value").alias("value_share"))

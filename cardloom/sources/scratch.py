@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _ROW = (1 << 33) - 1
@@ -31,6 +32,23 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, order, **values) -> DataFrame:
+    """df with the sum of each of the values (name=Column) over all rows up to and including it, in a total order.
+
+    Rows are sorted in ranges and summed inside them, so that no task has all; a row for each range goes to the driver.
+    """
+    rows = kept(df.orderBy(order).withColumn("_at", F.monotonically_increasing_id()), "running").withColumn("_part", F.shiftright("_at", 33))
+    of_parts = rows.groupBy("_part").agg(*(F.sum(v).alias(f"_{name}") for name, v in values.items()))
+    before, starts = [None] * len(values), []
+    for part, *sums in sorted(map(tuple, of_parts.collect())):
+        starts.append((part, *before))
+        before = [b if s is None else s if b is None else b + s for b, s in zip(before, sums, strict=True)]
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, of_parts.schema))
+    up, zero = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0), F.lit(0)
+    sums = {name: F.coalesce(F.col(f"_{name}"), zero) + F.coalesce(F.sum(v).over(up), zero) for name, v in values.items()}
+    return rows.join(starts, "_part").withColumns(sums).drop("_part", "_at", *(f"_{name}" for name in values))
+
+
 def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     """df with its position from 1 in a total order: sorted in ranges and numbered inside them, so that no task has all rows.
 

@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from cardloom.operators import segment
 from cardloom.sources import contract, scratch
@@ -66,3 +67,17 @@ def test_sweep_and_marginal_information(spark):
     assert found["good"]["r2"] > 0.99 and found["good"]["gap"] == 0 and found["good"]["verdict"] == "adds nothing" and found["noise"]["verdict"] == "tells less"
     with pytest.raises(ValueError, match="labels no merchant"):
         segment.compare(p, {"none": labels.selectExpr("merchant_id", "-1 as segment")})
+
+
+def test_running_sums(spark):
+    """Sums in order over ranges: a value that is null, values of several types, a table of one row and one without."""
+    rows = [(k * 7919 % 1_000, None if k % 10 == 0 else k, float(k % 3)) for k in range(1_000)]
+    df = spark.createDataFrame(rows, "at int, n bigint, x double").repartition(9)
+    got = scratch.running(df, F.desc("at"), upto=F.col("n"), x_upto=F.col("x"), exact=F.col("n").cast("decimal(20,2)"))
+    n, x = 0, 0.0
+    for r in sorted(got.collect(), key=lambda r: -r["at"]):
+        n, x = n + (r["n"] or 0), x + r["x"]
+        assert (r["upto"], r["x_upto"], r["exact"]) == (n, x, n)
+    assert set(got.columns) == {"at", "n", "x", "upto", "x_upto", "exact"}
+    assert scratch.running(df.limit(1), F.asc("at"), s=F.col("x")).count() == 1
+    assert scratch.running(df.where("false"), F.asc("at"), s=F.col("x")).count() == 0
