@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 from . import fees
 
 #: A rate at or above this is taken for a percentage written as a number.
 MOST_RATE = 0.1
+#: Where a merchant sells.
+MERCHANT_CHANNELS = ("cp", "cnp", "mixed")
 
 
 class ConfigError(ValueError):
@@ -66,6 +68,19 @@ class Group:
     dispute_rate: float = 0.0
 
 
+@dataclass(frozen=True)
+class Mcc:
+    group: str
+    merchant_share: float
+    channel_mix: dict
+
+
+@dataclass(frozen=True)
+class Issuer:
+    market_share: float
+    product_mix: str
+
+
 @dataclass(frozen=True)
 class Network:
     """Everything that prices and generates purchases."""
@@ -82,6 +97,36 @@ class Network:
     segmentation_k: tuple = (4, 12)
     start: str = "2024-01-01"
     end: str = "2025-12-31"
+    # What follows is checked where it is given.
+    mccs: dict = field(default_factory=dict)  # code -> Mcc
+    weekday_profiles: dict = field(default_factory=dict)  # name -> seven factors
+    group_weekdays: dict = field(default_factory=dict)  # group -> name of a profile
+    country: str = "CO"
+    cities: dict = field(default_factory=dict)  # city -> inhabitants
+    other_cities_share: float = 0.0
+    foreign_countries: dict = field(default_factory=dict)  # country -> share of purchases abroad
+    foreign_groups: dict = field(default_factory=dict)  # group -> share of purchases abroad
+    issuers: dict = field(default_factory=dict)  # issuer -> Issuer
+    product_mixes: dict = field(default_factory=dict)  # name -> product -> share
+    acquirers: dict = field(default_factory=dict)  # acquirer -> size tier -> share of the tier's merchants
+    spend_segments: dict = field(default_factory=dict)  # product -> segment -> share
+    lifestyles: dict = field(default_factory=dict)  # product -> lifestyle -> share
+    lifestyle_boosts: dict = field(default_factory=dict)  # lifestyle -> group -> factor
+    issuer_costs: dict = field(default_factory=dict)  # product -> costs
+    fraud_rates: dict = field(default_factory=dict)  # channel -> rate
+    price_overrides: tuple = ()  # (product, group)
+    abandonment: tuple = (fees.LOWEST, fees.ABANDONMENT, fees.HIGHEST)
+
+    @property
+    def city_weights(self) -> dict[str, float]:
+        """Share of cards and merchants by city, by inhabitants; `other` is the rest of the country."""
+        all_ = sum(self.cities.values())
+        return {c: (1 - self.other_cities_share) * n / all_ for c, n in self.cities.items()} | {"other": self.other_cities_share}
+
+    @property
+    def lifestyle_names(self) -> tuple[str, ...]:
+        """Lifestyles in the order of the first product."""
+        return tuple(next(iter(self.lifestyles.values()), ()))
 
     @property
     def k_values(self) -> list[int]:
@@ -94,10 +139,82 @@ class Network:
         return (date.fromisoformat(self.end) - date.fromisoformat(self.start)).days + 1
 
 
+def _mix(shares: dict[str, float], keys, where: str) -> None:
+    covers(shares, keys, where)
+    sums_to_one(shares, where)
+
+
+def _check_groups(net: Network) -> None:
+    """Codes belong to groups, each group has some, and somewhere to sell what it sells online and in person."""
+    subset((m.group for m in net.mccs.values()), net.groups, "mccs group")
+    for code, m in net.mccs.items():
+        _mix(m.channel_mix, MERCHANT_CHANNELS, f"mccs.{code}.channel_mix")
+    if net.mccs:
+        sums_to_one({code: m.merchant_share for code, m in net.mccs.items()}, "mccs merchant_share")
+        for name, g in net.groups.items():
+            mixes = [m.channel_mix for m in net.mccs.values() if m.group == name]
+            if not mixes:
+                raise ConfigError(f"groups.{name}: no code")
+            for sells, kind, channel in ((g.online_share > 0, "online", "cnp"), (g.online_share < 1, "in person", "cp")):
+                if sells and not any(m[channel] + m["mixed"] for m in mixes):
+                    raise ConfigError(f"groups.{name}: sells {kind} but has no {channel} or mixed merchants")
+    for name, factors in net.weekday_profiles.items():
+        if len(factors) != 7 or min(factors) <= 0:
+            raise ConfigError(f"weekday_profiles.{name}: seven factors above 0")
+    subset(net.group_weekdays, net.groups, "group_weekdays")
+    subset(net.group_weekdays.values(), net.weekday_profiles, "group_weekdays profile")
+
+
+def _check_people(net: Network) -> None:
+    """Issuers, acquirers, cardholders' segments and where they live and buy."""
+    for name, mix in net.product_mixes.items():
+        _mix(mix, net.base_rates, f"product_mixes.{name}")
+    if net.issuers:
+        sums_to_one({k: i.market_share for k, i in net.issuers.items()}, "issuers market_share")
+        subset((i.product_mix for i in net.issuers.values()), net.product_mixes, "issuers product_mix")
+    for name, shares in net.acquirers.items():
+        covers(shares, net.tier_shares, f"acquirers.{name}")
+    for tier in net.tier_shares if net.acquirers else ():
+        sums_to_one({k: shares[tier] for k, shares in net.acquirers.items()}, f"acquirers of {tier} merchants")
+    for name, by_product, keys in (("spend_segments", net.spend_segments, fees.REWARDS_ELASTICITY), ("lifestyles", net.lifestyles, net.lifestyle_names)):
+        if by_product:
+            covers(by_product, net.base_rates, name)
+        for product, mix in by_product.items():
+            _mix(mix, keys, f"{name}.{product}")
+    subset(net.lifestyle_boosts, net.lifestyle_names, "lifestyle_boosts")
+    for name, boosts in net.lifestyle_boosts.items():
+        subset(boosts, net.groups, f"lifestyle_boosts.{name}")
+        if any(x <= 0 for x in boosts.values()):
+            raise ConfigError(f"lifestyle_boosts.{name}: factors above 0")
+    if any(n <= 0 for n in net.cities.values()) or not 0 <= net.other_cities_share <= 1:
+        raise ConfigError("cities: inhabitants above 0 and a share of other cities between 0 and 1")
+    if net.country in net.foreign_countries:
+        raise ConfigError(f"foreign_countries: {net.country} is the home country")
+    subset(net.foreign_groups, net.groups, "foreign_groups")
+    for name, shares in (("foreign_countries", net.foreign_countries), ("foreign_groups", net.foreign_groups)):
+        if shares:
+            sums_to_one(shares, name)
+
+
+def _check_prices(net: Network) -> None:
+    """Costs by product, fraud by channel, overrides of cells that exist, and an abandonment that the bounds leave room for."""
+    for name, keys, wanted in (("issuer_costs", net.issuer_costs, net.base_rates), ("fraud_rates", net.fraud_rates, fees.CHANNELS)):
+        if keys:
+            covers(keys, wanted, name)
+    for channel, x in net.fraud_rates.items():
+        rate(x, f"fraud_rates.{channel}")
+    subset((o[0] for o in net.price_overrides), net.base_rates, "price_overrides product")
+    subset((o[1] for o in net.price_overrides), net.groups, "price_overrides group")
+    low, target, high = net.abandonment
+    if not 0 <= low < target < high <= 1:
+        raise ConfigError("abandonment: the target has to lie between its bounds")
+
+
 def checked(data: dict) -> Network:
     """A Network from plain data; any gap, unknown key, bad share or rate raises ConfigError."""
     data = dict(data)
-    data["groups"] = {k: _closed(Group, v, f"groups.{k}") for k, v in data.get("groups", {}).items()}
+    for name, kind in (("groups", Group), ("mccs", Mcc), ("issuers", Issuer)):
+        data[name] = {k: _closed(kind, v, f"{name}.{k}") for k, v in data.get(name, {}).items()}
     net = _closed(Network, data, "network")
     for k, g in net.groups.items():
         rate(g.blended_mdr_rate, f"groups.{k}.blended_mdr_rate")
@@ -118,8 +235,10 @@ def checked(data: dict) -> Network:
     distinct(net.small_groups, "small_groups")
     if len(net.weekday_profile) != 7 or min(net.weekday_profile) < 0:
         raise ConfigError("weekday_profile: seven factors of 0 or more")
-    if not 2 <= net.segmentation_k[0] <= net.segmentation_k[1] or net.days < 1:
+    if not 2 <= net.segmentation_k[0] <= net.segmentation_k[1] or net.days < 2:
         raise ConfigError("segmentation_k or dates are out of order")
+    for check in (_check_groups, _check_people, _check_prices):
+        check(net)
     return net
 
 
@@ -132,7 +251,7 @@ def default() -> dict:
         "groups": {k: dict(zip(names, v, strict=True)) for k, v in fees.GROUPS.items()},
         "base_rates": {p: dict(zip(fees.GROUPS, r, strict=True)) for p, r in fees.BASE_RATES.items()},
         "fixed": dict(fees.FIXED), "product_mix": dict(PRODUCT_MIX), "group_mix": dict(zip(fees.GROUPS, GROUP_MIX, strict=True)),
-        "tier_shares": dict(fees.TIERS),
+        "tier_shares": dict(fees.TIERS), "issuer_costs": dict(fees.ISSUER_COSTS), "fraud_rates": dict(fees.FRAUD),
     }
 
 

@@ -35,6 +35,76 @@ def test_bad_configurations(path, value, message):
         config.checked(change(path, value))
 
 
+def whole():
+    """A network in which everything is given."""
+    data = config.default()
+    groups, products = list(data["groups"]), list(data["base_rates"])
+    data["groups"]["fuel"] |= {"online_share": 0.0}
+    mix = dict.fromkeys(products, 1 / len(products))
+    return data | {
+        "mccs": {f"{5000 + k}": {"group": g, "merchant_share": 1 / len(groups), "channel_mix": {"cp": 0.5, "cnp": 0.2, "mixed": 0.3}} for k, g in enumerate(groups)},
+        "weekday_profiles": {"flat": [1.0] * 7}, "group_weekdays": {"fuel": "flat"}, "cities": {"north": 300, "south": 100}, "other_cities_share": 0.2,
+        "foreign_countries": {"US": 0.6, "ES": 0.4}, "foreign_groups": {"fuel": 1.0}, "product_mixes": {"all": mix},
+        "issuers": {"a": {"market_share": 0.7, "product_mix": "all"}, "b": {"market_share": 0.3, "product_mix": "all"}},
+        "acquirers": {"x": dict.fromkeys(data["tier_shares"], 0.4), "y": dict.fromkeys(data["tier_shares"], 0.6)},
+        "spend_segments": {p: {"low": 0.5, "mid": 0.3, "high": 0.2} for p in products}, "lifestyles": {p: {"home": 0.4, "away": 0.6} for p in products},
+        "lifestyle_boosts": {"away": {"fuel": 2.0}}, "price_overrides": [("debit", "fuel")],
+    }
+
+
+def test_derived_parameters():
+    net = config.checked(whole())
+    assert net.city_weights == pytest.approx({"north": 0.6, "south": 0.2, "other": 0.2}) and sum(net.city_weights.values()) == pytest.approx(1)
+    assert net.lifestyle_names == ("home", "away") and net.k_values == list(range(4, 13)) and net.days == 731
+
+
+@pytest.mark.parametrize(
+    ("path", "value", "message"),
+    [
+        (("mccs", "5000", "group"), "nowhere", "not among"), (("mccs", "5000", "merchant_share"), 0.5, "add up"), (("mccs", "5000", "channel_mix"), {"cp": 1.0}, "missing"),
+        (("mccs", "5000", "colour"), 1, "unknown keys"), (("weekday_profiles", "flat"), [1.0] * 6, "seven"), (("weekday_profiles", "flat"), [0.0] + [1.0] * 6, "seven"),
+        (("group_weekdays", "fuel"), "steep", "not among"), (("cities", "north"), 0, "inhabitants"), (("other_cities_share",), 1.5, "inhabitants"),
+        (("foreign_countries",), {"CO": 0.5, "US": 0.5}, "home country"), (("foreign_countries", "US"), 0.5, "add up"), (("foreign_groups",), {"nowhere": 1.0}, "not among"),
+        (("issuers", "a", "market_share"), 0.6, "add up"), (("issuers", "a", "product_mix"), "none", "not among"), (("product_mixes", "all", "debit"), 0.9, "add up"),
+        (("acquirers", "x", "micro"), 0.1, "micro"), (("acquirers", "x"), {"micro": 0.4}, "missing"), (("spend_segments", "debit", "low"), 0.9, "add up"),
+        (("spend_segments",), {"debit": {"low": 1.0, "mid": 0.0, "high": 0.0}}, "missing"), (("lifestyles", "commercial"), {"home": 1.0}, "missing"),
+        (("lifestyle_boosts", "sea"), {}, "not among"), (("lifestyle_boosts", "away", "fuel"), 0.0, "above 0"), (("lifestyle_boosts", "away", "nowhere"), 1.0, "not among"),
+        (("issuer_costs",), {"debit": 1}, "missing"), (("fraud_rates", "cp"), 0.2, "no rate"), (("fraud_rates", "moon"), 0.0, "unknown"),
+        (("price_overrides",), [("gold", "fuel")], "not among"), (("price_overrides",), [("debit", "nowhere")], "not among"), (("abandonment",), (0.1, 0.05, 0.6), "between"),
+        (("end",), "2024-01-01", "out of order"),
+    ],
+)
+def test_tables_that_disagree(path, value, message):
+    data = copy.deepcopy(whole())
+    at = data
+    for k in path[:-1]:
+        at = at[k]
+    at[path[-1]] = value
+    with pytest.raises(config.ConfigError, match=message):
+        config.checked(data)
+
+
+@pytest.mark.parametrize(("share", "channel", "message"), [(0.4, "cp", "sells online"), (0.4, "cnp", "sells in person"), (0.0, "cp", None), (1.0, "cnp", None)])
+def test_a_group_sells_where_it_has_merchants(share, channel, message):
+    data = whole()
+    data["groups"]["fuel"] |= {"online_share": share}
+    code = next(k for k, m in data["mccs"].items() if m["group"] == "fuel")
+    data["mccs"][code]["channel_mix"] = dict.fromkeys(config.MERCHANT_CHANNELS, 0.0) | {channel: 1.0}
+    if message is None:
+        assert config.checked(data).groups["fuel"].online_share == share
+    else:
+        with pytest.raises(config.ConfigError, match=message):
+            config.checked(data)
+
+
+def test_a_group_without_codes():
+    data = whole()
+    first = next(iter(data["mccs"]))
+    data["mccs"][first]["group"] = "fuel" if data["mccs"][first]["group"] != "fuel" else "grocery"
+    with pytest.raises(config.ConfigError, match="no code"):
+        config.checked(data)
+
+
 def test_load(tmp_path):
     (tmp_path / "more.json").write_text(json.dumps({"start": "2024-03-01"}))
     (tmp_path / "net.json").write_text(json.dumps({"include": ["more.json"], "end": "2024-03-31"}))
