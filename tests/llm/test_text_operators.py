@@ -517,3 +517,18 @@ def test_lines_of_few_words_go_too(spark):
     rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "2024-11-27\nChapter 1\n" + chinese[:11] + "\u5b57" + chinese[12:]), (4, "Chapter 2\n\n \n12")]
     got = {r["doc_id"]: r["n_removed_lines"] for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: 0, 2: 5, 3: 1, 4: 0}
+
+
+def test_lines_of_a_very_common_run_meet_where_signatures_differ(spark):
+    draw = random.Random(12)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(k, " ".join(["common", *(word(20) for _ in range(3))])) for k in range(2 * line_dedup.LIST)]
+    one = [word(20) for _ in range(3)]
+    rows += [(1_000, " ".join(["common", *one])), (1_001, " ".join(["common", *(w[:9] + ("q" if w[9] != "q" else "z") + w[10:] for w in one)]))]
+    rows += [(1_002, " ".join(["common", *(w[:9] + w[10:] for w in one)]))]  # of another size
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for chunk in (line_dedup.CHUNK, 16):
+        with pytest.MonkeyPatch.context() as changed:
+            changed.setattr(line_dedup, "CHUNK", chunk)
+            got = {r["doc_id"] for r in line_dedup.line_report(docs).where("n_removed_lines = 1").collect()}
+        assert got == {1_001, 1_002}
