@@ -69,3 +69,12 @@ def test_an_empty_folder_of_purchases(spark, parts, tmp_path):
     store = warehouse.FactStore(spark, f"file://{tmp_path}/none")
     assert refreshed(store, purchases.limit(0), shops, prices) == [] and store.read().count() == 0
     assert len(refreshed(store, purchases, shops, prices)) > 70 and same(store, *parts)
+
+
+def test_rates_are_stored_and_amounts_follow(spark, small):
+    fact = warehouse.fact(spark, small)
+    stored = spark.table(warehouse.store_of(spark, small).table)
+    assert not set(stored.columns) & set(waterfall.MONEY) and set(waterfall.MONEY) <= set(fact.columns)
+    assert all(stored.select(c).distinct().count() <= 192 for c in waterfall.RATES)
+    want = waterfall.fact(spark, small)
+    assert fact.count() == want.count() and fact.select(want.columns).exceptAll(want).count() == 0
