@@ -78,3 +78,25 @@ def test_rates_are_stored_and_amounts_follow(spark, small):
     assert all(stored.select(c).distinct().count() <= 192 for c in waterfall.RATES)
     want = waterfall.fact(spark, small)
     assert fact.count() == want.count() and fact.select(want.columns).exceptAll(want).count() == 0
+
+
+def test_slices_make_the_same_store_and_reach_both_sides_of_the_join(spark, small, parts, tmp_path):
+    purchases, shops, prices = parts
+    store = warehouse.FactStore(spark, f"file://{tmp_path}/slices", slice_rows=4_000)
+    deal = lambda n: bridge.transactions(spark, small, n)
+    assert len(refreshed(store, deal, shops, prices, apart="l_orderkey")) > 70 and same(store, *parts)
+    slices = [s.select("l_orderkey", "cardholder_id") for s in store._slices(deal(8), purchases.count(), "l_orderkey")]
+    assert len(slices) == -(-purchases.count() // 4_000) and sum(s.count() for s in slices) == purchases.count()
+    filters = slices[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"xxhash64({key}" in filters for key in ("l_orderkey", "o_orderkey"))
+    at = datetime.date(1995, 3, 1)
+    later = lambda n: deal(n).withColumn("amount_cop", F.col("amount_cop") + F.when(warehouse.month() == F.lit(at), 5).otherwise(0))
+    assert refreshed(store, later, shops, prices, apart="l_orderkey") == [at] and same(store, later(1), shops, prices)
+    assert refreshed(store, later, shops, prices, apart="l_orderkey") == []
+
+
+def test_suppliers_and_models_dont_shuffle_lines_again(spark, small, parts):
+    _, shops, prices = parts
+    text = plan(waterfall.rated(waterfall.modelled(bridge.transactions(spark, small, 8), shops, 8), waterfall.Prices(**prices)))
+    assert "hashpartitioning(l_suppkey" not in text and text.count("Exchange hashpartitioning(l_partkey") == 1
+    assert text.count("Exchange hashpartitioning(merchant_id") <= 2  # the models': counted, then dealt
