@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import waterfall
+from cardloom.operators import profile, waterfall
 from cardloom.sources import bridge, warehouse
 
 
@@ -100,3 +100,18 @@ def test_suppliers_and_models_dont_shuffle_lines_again(spark, small, parts):
     text = plan(waterfall.rated(waterfall.modelled(bridge.transactions(spark, small, 8), shops, 8), waterfall.Prices(**prices)))
     assert "hashpartitioning(l_suppkey" not in text and text.count("Exchange hashpartitioning(l_partkey") == 1
     assert text.count("Exchange hashpartitioning(merchant_id") <= 2  # the models': counted, then dealt
+
+
+def test_profiles_count_cardholders_apart_from_the_sums_and_in_slices(spark, small, monkeypatch):
+    """Pairs of merchant and cardholder carry no sums, which spilled; other sums don't look for pairs; slices give the same numbers."""
+    fact, shops = warehouse.fact(spark, small), bridge.merchants(spark, small)
+    found = profile.merchant_profile(fact, shops)
+    keys = [line for line in plan(found).splitlines() if "HashAggregate(keys=[merchant_id" in line and "cardholder_id" in line.split("functions")[0]]
+    assert keys and all("functions=[]" in line for line in keys) and "cardholder_id" not in plan(found.select("merchant_id", "mdr_cop"))
+    want = fact.groupBy("merchant_id").agg(F.countDistinct("cardholder_id").alias("n_customers"))
+    monkeypatch.setattr(profile, "SLICE_ROWS", 2_000)
+    sliced = profile.merchant_profile(fact, shops, fact.count())
+    assert plan(sliced).count("pmod(xxhash64(merchant_id") >= 3 and sliced.dtypes == found.dtypes
+    assert sliced.select("merchant_id", "n_customers").exceptAll(want).count() == 0 and sliced.count() == want.count()
+    odd = fact.withColumn("cardholder_id", F.when(F.col("merchant_id") % 2 == 0, F.col("cardholder_id")))
+    assert profile.merchant_profile(odd, shops, fact.count()).where("(merchant_id % 2 = 1) <> (n_customers = 0)").count() == 0
