@@ -95,3 +95,19 @@ def test_bounds_hold():
     _, bound = nearest.bounds(x, blocks)
     for b in number[blocks.size > 0]:
         assert ((x @ x[at == b].T).max(axis=1) <= bound[:, b] + nearest.SLACK).all()
+
+
+def test_vectors_are_not_shuffled_for_each_block(spark, monkeypatch):
+    """Flat vectors ask nearly every block: those who ask meet blocks in a product, dealt once, on several sides as on one."""
+    draw = np.random.default_rng(6)
+    rows = [(k, draw.normal(size=12).tolist()) for k in range(500)]
+    monkeypatch.setattr(nearest, "SIDE_BYTES", 20_000)
+    met = []
+    compare = nearest.compare
+    monkeypatch.setattr(nearest, "compare", lambda *a: met.append(compare(*a)) or met[-1])
+    got, found = searched(spark, rows, 7, 16)
+    same(got, by_all_pairs(rows, 7))
+    assert found.compared > 0.5 * 500**2 and len(met) == 2
+    for df in met:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in text and text.count("Exchange") == 2 and "hashpartitioning" not in text
