@@ -115,3 +115,19 @@ def test_profiles_count_cardholders_apart_from_the_sums_and_in_slices(spark, sma
     assert sliced.select("merchant_id", "n_customers").exceptAll(want).count() == 0 and sliced.count() == want.count()
     odd = fact.withColumn("cardholder_id", F.when(F.col("merchant_id") % 2 == 0, F.col("cardholder_id")))
     assert profile.merchant_profile(odd, shops, fact.count()).where("(merchant_id % 2 = 1) <> (n_customers = 0)").count() == 0
+
+
+def test_copies_are_not_stored_and_files_are_zstd(spark, small):
+    fact = warehouse.fact(spark, small)
+    stored = spark.table(warehouse.store_of(spark, small).table)
+    assert not set(stored.columns) & set(warehouse.COPIES) and all("zstd" in f for f in stored.inputFiles())
+    purchases = bridge.transactions(spark, small)
+    assert fact.columns[:5] == ["merchant_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    assert fact.select(purchases.columns).exceptAll(purchases).count() == 0 and fact.count() == purchases.count()
+
+
+def test_a_slice_is_sorted_in_memory():
+    """Rows of a bucket and slice, at some 400 bytes each, stay under the 540 MB that a task of a 3,000 MB executor of two cores has."""
+    for rows in (10_000_000, 36_000_000, 216_000_000, 1_000_000_000):
+        buckets = min(warehouse.MOST, max(warehouse.FEWEST, 1 << (rows // warehouse.BUCKET_ROWS).bit_length()))
+        assert min(rows, warehouse.SLICE_ROWS) / buckets * 400 <= 540e6
