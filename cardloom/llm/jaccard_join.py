@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, fresh, map_arrow, prepare, released, utf8, write_out
+from .common import arrow_schema, cleared, components, fresh, map_arrow, prepare, released, utf8, write_out
 from .shingles import mix, shingle_sets
 
 WORDS = 5
@@ -332,6 +332,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     columns = _columns(docs, sketch, bits, buckets)
     blocks = write_out(columns.groupBy("bucket").applyInArrow(block, "bucket int, data binary"), "pairs")
+    cleared(spark)
 
     def decide(table: pa.Table) -> pa.Table:
         pairs = add_up(np.concatenate([_unpack(x, _PAIR) for x in table.column("data").to_pylist()]))

@@ -61,8 +61,13 @@ def presence_matrix(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def unpacked(rows: np.ndarray) -> np.ndarray:
+    """Presence rows of packed ones; others as they are."""
+    return rows if rows.shape[1] == SLOTS else np.unpackbits(rows, axis=1)
+
+
 class KernelModel:
-    """fit() on packed presence rows; scores() of presence rows."""
+    """fit() on presence rows, best packed (of which it unpacks a part at a time); scores() of presence rows."""
 
     def fit(self, rows: np.ndarray, labels: list[str]) -> KernelModel:
         self.languages = sorted(set(labels))
@@ -71,7 +76,7 @@ class KernelModel:
         of = np.array([self.languages.index(x) for x in labels])
         each = -(-LANDMARKS // len(self.languages))
         chosen = np.concatenate([np.flatnonzero(of == k)[:each] for k in range(len(self.languages))])
-        marks = rows[chosen]
+        marks = unpacked(rows[chosen])
         self.columns = np.flatnonzero(marks.any(axis=0))
         self.marks = np.ascontiguousarray(marks[:, self.columns].T.astype(np.float32))
         self.sizes = np.sqrt(marks.sum(axis=1, dtype=np.float64))
@@ -79,7 +84,7 @@ class KernelModel:
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         keep = values > EPS * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        features = np.concatenate([self.kernel(rows[k : k + 256]) for k in range(0, len(rows), 256)]) @ root
+        features = np.concatenate([self.kernel(unpacked(rows[k : k + 128])) for k in range(0, len(rows), 128)]) @ root
         features = np.c_[features, np.ones(len(features))]
         target = np.where(of[:, None] == np.arange(len(self.languages)), 1.0, -1.0)
         weight = 1.0 / np.bincount(of)[of]
@@ -114,7 +119,7 @@ def train(docs: DataFrame) -> KernelModel:
     found = sorted(map(tuple, map_arrow(picked.select("doc_id", "text", "lang"), rows, "doc_id bigint, lang string, bits binary").collect()))
     if len({r[1] for r in found}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    bits = np.unpackbits(np.frombuffer(b"".join(r[2] for r in found), np.uint8)).reshape(len(found), SLOTS)
+    bits = np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(len(found), SLOTS // 8)
     return KernelModel().fit(bits, [r[1] for r in found])
 
 

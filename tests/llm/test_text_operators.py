@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -405,6 +407,30 @@ def test_kernel_of_sets(texts):
     assert np.allclose(model.kernel(rows), want, atol=0.03)  # a few n-grams may share a slot
 
 
+def test_packed_rows_make_the_same_model():
+    """Packed rows are unpacked a part at a time: the driver never has all of them."""
+    draw = np.random.default_rng(5)
+    packed = draw.integers(0, 256, (1_600, language_id.SLOTS // 8), np.uint8) & draw.integers(0, 256, (1_600, language_id.SLOTS // 8), np.uint8)
+    labels = [str(k % 4) for k in range(len(packed))]
+    tracemalloc.start()
+    model = language_id.KernelModel().fit(packed, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 95_000_000 < packed.size * 8
+    whole = language_id.KernelModel().fit(np.unpackbits(packed, axis=1), labels)
+    assert np.allclose(model.weights, whole.weights) and np.allclose(model.bias, whole.bias)
+
+
+def test_components_leave_one_table(spark):
+    """A long chain takes several rounds, and each deletes the one before it."""
+    folder = Path(common.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("links-*"))
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a bigint, b bigint")
+    got = {tuple(r) for r in common.components(chain).collect()}
+    assert got == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+    assert len(set(folder.glob("links-*")) - before) == 1
+
+
 def docs_schema(spark, small):
     return common.read(spark, small, "documents").schema
 
