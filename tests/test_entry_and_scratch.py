@@ -69,6 +69,17 @@ def test_sweep_and_marginal_information(spark):
         segment.compare(p, {"none": labels.selectExpr("merchant_id", "-1 as segment")})
 
 
+def test_compare_writes_what_it_reads(spark, monkeypatch):
+    """Every method writes a copy of the merchants: of their profile only what the comparison reads."""
+    rows = [(k, float(k % 4) + (k * 37 % 11) / 100, f"g{k % 3}", 1.0 + k, 0.01 * (k % 5), "junk") for k in range(200)]
+    p = spark.createDataFrame(rows, "merchant_id bigint, relative_burden double, mcc_group string, gdv_cop double, effective_interchange_rate double, other string")
+    written, keep = {}, segment.kept
+    monkeypatch.setattr(segment, "kept", lambda df, name: written.setdefault(name, df.columns) and keep(df, name))
+    got = segment.compare(p, {"own": p.selectExpr("merchant_id", "cast(merchant_id % 4 as int) as segment")}).first()
+    assert got["coverage"] == 1 and got["merchants"] == 60 and got["r2"] > 0.99
+    assert "labelled" in written and not any("other" in columns for columns in written.values())
+
+
 def test_running_sums(spark):
     """Sums in order over ranges: a value that is null, values of several types, a table of one row and one without."""
     rows = [(k * 7919 % 1_000, None if k % 10 == 0 else k, float(k % 3)) for k in range(1_000)]
