@@ -49,6 +49,22 @@ def test_only_changed_months_are_priced(spark, small, parts, tmp_path):
     assert refreshed(store, later, other, dearer) == [] and same(store, later, other, dearer)
 
 
+def test_models_are_worked_out_once(spark, parts, tmp_path):
+    """Several slices meet the same written models: what ranks all merchants doesn't run for each."""
+    purchases, shops, prices = parts
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    models = shops.select("merchant_id", "pricing_model")
+    store = warehouse.FactStore(spark, f"file://{tmp_path}/store", slice_rows=2_500)
+    store.refresh(purchases, models.mapInArrow(counted, models.schema), prices, lambda p: waterfall.price(p, waterfall.Prices(**prices), shops), rows=purchases.count(), apart="l_orderkey")
+    assert seen.value == shops.count() and same(store, *parts)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
