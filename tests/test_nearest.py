@@ -1,9 +1,12 @@
 """Substitutes by pruned search against all pairs."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from cardloom.operators import links, nearest
+from cardloom.sources import scratch
 
 SCHEMA = "merchant_id bigint, vector array<double>"
 
@@ -111,3 +114,15 @@ def test_vectors_are_not_shuffled_for_each_block(spark, monkeypatch):
     for df in met:
         text = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in text and text.count("Exchange") == 2 and "hashpartitioning" not in text
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_no_vectors_are_left_behind(spark, block):
+    """What a search leaves in the shared folder are classes by merchant and lists by class, with few blocks and with many."""
+    folder = Path(scratch.shared(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    draw = np.random.default_rng(3)
+    rows = [(k, draw.standard_normal(8).tolist()) for k in range(300)]
+    found = nearest.search(spark.createDataFrame(rows, "merchant_id bigint, vector array<double>"), 5, block).found
+    assert sorted(p.name.partition("-")[0] for p in set(folder.iterdir()) - before) == ["lists", "mine"]
+    assert found.count() == 1_500 and "vector" not in found._jdf.queryExecution().optimizedPlan().toString()
