@@ -23,8 +23,8 @@ def test_one_read_stores_nothing_and_gives_the_same_purchases(spark, unstored):
     assert "pricing_model" not in plan and plan.count("Exchange hashpartitioning(l_partkey") == 1
 
 
-@pytest.mark.parametrize("name", ["w01_share_of_group", "a01_pnl_by_actor", "j01_fct_waterfall", "p09_population", "m09_test_split", "m11_compare", "a13_merchant_profile", "m03_feature_space", "l05_shock_response"])
-def test_queries_that_read_purchases_once_store_nothing(spark, unstored, name):
+@pytest.mark.parametrize("name", ["w01_share_of_group", "a01_pnl_by_actor", "j01_fct_waterfall", "p09_population", "m09_test_split", "m11_compare", "a13_merchant_profile", "m03_feature_space", "l05_shock_response", "e25_schema_rules"])
+def test_queries_store_nothing(spark, unstored, name):
     assert registry.QUERIES[name](spark, unstored).count()
 
 
@@ -44,3 +44,10 @@ def test_a_shock_reads_its_inputs_once(spark, unstored):
     with pytest.raises(ValueError, match="above -1"):
         acceptance.shock_response(inputs, registry._intercepts(spark), 12.5, -1.0)
     assert bridge.read(spark, unstored, "part").count() >= found.count() > 0
+
+
+def test_purchases_written_once_are_the_same(spark, unstored):
+    purchases, fact = warehouse.written(spark, unstored)
+    want, all_of = bridge.transactions(spark, unstored), waterfall.fact(spark, unstored)
+    assert purchases.count() == want.count() and purchases.select(want.columns).exceptAll(want).count() == 0
+    assert fact.count() == all_of.count() and fact.select(all_of.columns).exceptAll(all_of).count() == 0
